@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from kavak.llm.plain import UNSAFE, plain_many
@@ -23,12 +24,10 @@ def _in_steps(values: pd.Series) -> list[str | None]:
     return out
 
 
-@pandas_udf("string")
 def _plain(values: pd.Series) -> pd.Series:
     return pd.Series(_in_steps(values), dtype=object)
 
 
-@pandas_udf("boolean")
 def _differs(values: pd.Series) -> pd.Series:
     return pd.Series([t is not None and t != p for t, p in zip(values.tolist(), _in_steps(values))])
 
@@ -37,7 +36,7 @@ def plain_column(text: str | Column) -> Column:
     """The plain form of a string column; null stays null, empty stays empty."""
     c = F.col(text) if isinstance(text, str) else text
     # the UDF sees null where it has nothing to do
-    return F.coalesce(_plain(F.when(c.rlike(UNSAFE), c)), c)
+    return F.coalesce(pandas_udf(_plain, T.StringType())(F.when(c.rlike(UNSAFE), c)), c)
 
 
 def _long(records: DataFrame, id: str, fields: list[str]) -> DataFrame:
@@ -52,7 +51,7 @@ def not_plain(records: DataFrame, id: str, fields: list[str]) -> DataFrame:
     and empty values never appear; an empty table gives no rows.
     """
     suspects = _long(records, id, fields).filter(F.col("value").rlike(UNSAFE))
-    return suspects.filter(_differs("value")).select(F.col("_id").alias(id), "field")
+    return suspects.filter(pandas_udf(_differs, T.BooleanType())("value")).select(F.col("_id").alias(id), "field")
 
 
 def plain_forms(records: DataFrame, id: str, fields: list[str]) -> DataFrame:
