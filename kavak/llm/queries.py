@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kavak.llm import encode, leaks, neardup, unlike
+from kavak.llm import canonical, encode, languages, leaks, neardup, unlike
 from kavak.sources.tables import table
 
 FIELDS = ["evidence_text", "outcome_title"]
@@ -31,6 +31,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.all_pairs(pairs, members).select(F.col("a").alias("record_no_a"), F.col("b").alias("record_no_b"))
 
 
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each record that takes part: its class, the class's records and the alike classes."""
+    pairs, members = neardup.alike(table(spark, folder, "evidence_records"), "record_no", "evidence_text", LIKENESS)
+    return neardup.links(pairs, members).withColumnRenamed("id", "record_no")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The list's topic that each typed topic means."""
+    typed = table(spark, folder, "study_log").filter(F.col("subject") == "Tarih")
+    return canonical.mapped_values(typed, "log_id", "topic", table(spark, folder, "tyt_tarih"), "topic_no", "topic")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of every document."""
     return encode.encode(table(spark, folder, "documents"), "doc_id", "text")
@@ -41,4 +53,24 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p6_ids, p7_found)}
+def _model(spark: SparkSession, folder: str) -> bytes:
+    return languages.fitted(table(spark, folder, "lang_samples"), "lang", "text", table(spark, folder, "documents"), "doc_id", "lang", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages of documents whose label is missing or wrong or whose text mixes languages."""
+    return languages.mislabelled(table(spark, folder, "documents"), "doc_id", "text", "lang", _model(spark, folder))
+
+
+def p8_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages of every document, with sentences and confidence."""
+    found = languages.languages(table(spark, folder, "documents"), "doc_id", "text", _model(spark, folder))
+    return found.select("doc_id", F.explode_outer("languages").alias("x")).select("doc_id", "x.lang", "x.sentences", "x.confidence")
+
+
+def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The stretches of one language in every document."""
+    return languages.segments(table(spark, folder, "documents"), "doc_id", "text", _model(spark, folder))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p3_groups, p5_found, p6_ids, p7_found, p8_found, p8_languages, p8_segments)}
