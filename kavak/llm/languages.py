@@ -255,6 +255,16 @@ class Labeller:
         return texts, text, w.start[begin] - w.at[text], stops + 1 - w.at[text], full, lang, sure
 
 
+def _carried(of: np.ndarray, full: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """Pieces that are no full sentence (titles, choices) take the language of the sentence before, else after, in their text."""
+    place = np.arange(len(of))
+    before = np.maximum.accumulate(np.where(full, place, -1))
+    after = np.minimum.accumulate(np.where(full, place, len(of))[::-1])[::-1]
+    before_ok = (before >= 0) & (of[np.maximum(before, 0)] == of)
+    after_ok = (after < len(of)) & (of[np.minimum(after, len(of) - 1)] == of)
+    return np.where(full, lang, np.where(before_ok, lang[np.maximum(before, 0)], np.where(after_ok, lang[np.minimum(after, len(of) - 1)], lang)))
+
+
 _STOPS = np.array([ord(c) for c in ".!?…"], np.uint32)
 _BLANK = np.zeros(0x3001, bool)
 _BLANK[[ord(c) for c in "\t\n\r  )\"'”’»*(]"]] = True
@@ -357,6 +367,7 @@ def segments(documents: DataFrame, id: str, text: str, model: bytes) -> DataFram
         texts, of, begin, end, full, lang, sure = _labeller(sent.value).sentences(batch.column(1).to_pylist())
         if not len(of):
             return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string())], ["id", "segment", "lang", "confidence", "sentences", "text"])
+        lang = _carried(of, full, lang)
         new = np.concatenate(([True], (of[1:] != of[:-1]) | (lang[1:] != lang[:-1])))
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(of)) - 1
