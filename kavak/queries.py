@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from kavak.oracle import ORACLE as ORACLE
+from kavak.plans import content
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (content.p1_found, content.p1_places, content.p4_found, content.p4_report, content.p4_composite)
+}
+
