@@ -64,6 +64,31 @@ def _one_edit(a: str, b: str) -> bool:
     return rest[0][1:] == rest[1][1:] or rest[0][1:] == rest[1] or rest[0] == rest[1][1:] or (rest[0][:2] == rest[1][:2][::-1] and rest[0][2:] == rest[1][2:])
 
 
+def _step(most: int, row: tuple[int, ...], before: tuple[int, ...] | None, same: int, swapped: int, depth: int, length: int) -> tuple[int, ...] | None:
+    """The automaton's next state, None if nothing within ``most`` edits remains.
+
+    A state holds the distances of the path so far to the beginnings of the
+    value at most ``most`` signs shorter or longer: place k is the beginning of
+    depth - most + k signs.
+    """
+    new, left, far = [], most + 1, most + 1
+    for k in range(2 * most + 1):
+        j = depth - most + k
+        if j < 0 or j > length:
+            cost = far
+        elif j == 0:
+            cost = depth
+        else:
+            cost = min(row[k] + (not same >> k & 1), left + 1)
+            if k < 2 * most:
+                cost = min(cost, row[k + 1] + 1)
+            if j > 1 and swapped >> k & 1:
+                cost = min(cost, before[k] + 1)
+        left = cost = min(cost, far)
+        new.append(cost)
+    return tuple(new) if min(new) <= most else None
+
+
 class _Node:
     __slots__ = ("next", "ends")
 
@@ -81,6 +106,7 @@ class Trie:
         sets = {n: folded(name) for n, name in entries}
         self.words = {w for words in sets.values() for w in words}
         self.judged: dict[str, bool] = {}
+        self.steps: dict[int, dict] = {}
         for n, words in sets.items():
             self._orders(n, words, WHOLE)
             for size in range(2, len(words)):
@@ -131,45 +157,39 @@ class Trie:
         length = len(value)
         most = limit(length, WHOLE)
         found: dict[int, tuple[int, int]] = {}
-        far = most + 1
-
-        # The state after a path of ``depth`` signs: its distances to the beginnings of the value
-        # that are at most ``most`` signs longer or shorter (place k is the beginning of depth - most + k).
-        def step(c: str, depth: int, row: list[int], before: list[int] | None, came: str) -> list[int] | None:
-            new, left, least = [], far, far
-            for k in range(2 * most + 1):
-                j = depth - most + k
-                if j < 0 or j > length:
-                    cost = far
-                elif j == 0:
-                    cost = depth
-                else:
-                    cost = row[k] + (value[j - 1] != c)
-                    if left < cost:
-                        cost = left + 1 if left + 1 < cost else cost
-                    if k < 2 * most and row[k + 1] + 1 < cost:
-                        cost = row[k + 1] + 1
-                    if before is not None and j > 1 and c == value[j - 2] and came == value[j - 1] and before[k] + 1 < cost:
-                        cost = before[k] + 1
-                new.append(cost)
-                left = cost
-                if cost < least:
-                    least = cost
-            return new if least <= most else None
-
-        first = [k - most if k >= most and k - most <= length else far for k in range(2 * most + 1)]
+        wide = 2 * most + 1
+        window = (1 << wide) - 1
+        # where each sign stands in the value, moved so that windows begin at bit ``depth``
+        places: dict[str, int] = {}
+        for j, c in enumerate(value):
+            places[c] = places.get(c, 0) | 1 << (j + most + 1)
+        steps = self.steps.setdefault(most, {})
+        if len(steps) > 400_000:
+            steps.clear()
+        first = tuple(k - most if k >= most and k - most <= length else most + 1 for k in range(wide))
         todo = [(node, c, 1, first, None, "") for c, nodes in self.root.next.items() for node in nodes]
+        get = places.get
         while todo:
             node, c, depth, row, before, came = todo.pop()
-            new = step(c, depth, row, before, came)
+            # which signs of the window are c; where c and the sign before it stand swapped
+            same = get(c, 0) >> depth & window
+            swapped = (get(c, 0) >> depth - 1) & (get(came, 0) >> depth) & window if before else 0
+            rest = length - depth
+            key = (row, before if swapped else None, same, swapped, depth if depth < most else most, rest if -wide < rest < most else most if rest >= most else -wide)
+            new = steps.get(key, 0)
+            if new == 0:
+                new = steps[key] = _step(most, row, before, same, swapped, depth, length)
             if new is None:
                 continue
-            if node.ends and 0 <= length - depth + most <= 2 * most:
-                cost = new[length - depth + most]
+            if node.ends and -most <= rest <= most:
+                cost = new[rest + most]
                 for n, kind in node.ends:
                     if cost <= limit(length, kind) and (n not in found or (cost, kind) < found[n]):
                         found[n] = (cost, kind)
-            todo += [(follow, c2, depth + 1, new, row, c) for c2, nodes in node.next.items() for follow in nodes]
+            below = depth + 1
+            for c2, nodes in node.next.items():
+                for follow in nodes:
+                    todo.append((follow, c2, below, new, row, c))
         return found
 
     def _around(self, word: str) -> bool:
