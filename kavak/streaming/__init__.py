@@ -1,0 +1 @@
+"""The study log as a stream."""
