@@ -256,6 +256,9 @@ def mapped_values(rows: DataFrame, id: str, value: str, reference: DataFrame, nu
     typed = rows.select(F.col(id).cast("long").alias("id"), F.col(value).alias("value")).filter(F.col("value").isNotNull())
     if exact:
         typed = typed.filter(~F.col("value").isin(exact))
-    typed = typed.dropDuplicates()
+    # little data and much work: as many tasks as there are cores for, however few megabytes
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    typed = typed.repartition(tasks, "id", "value").dropDuplicates()
     done = typed.mapInArrow(mapped("value", work), "id long, number int").dropDuplicates()
     return done.select(F.col("id").alias(id), F.col("number").alias(number))
