@@ -6,7 +6,7 @@ engine.  Null stays null unless said otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,6 +54,11 @@ def _small(c: Column) -> Column:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it (also inside its own lambdas)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(c: Column) -> Column:
     """One blank for each run of white space, none at the ends."""
     return F.trim(F.regexp_replace(c, "\\s+", " "))
@@ -213,7 +218,7 @@ def is_generic(t: Column, stem: Column) -> Column:
 
 def meaningful_roots(c: Column) -> Column:
     """Distinct stems, not generic, of bare tokens of four letters or more."""
-    kept = F.filter(F.split(bare_words(c), " "), lambda t: (F.length(t) >= 4) & ~is_generic(t, root(t)))
+    kept = F.filter(F.split(bare_words(c), " "), lambda t: (F.length(t) >= 4) & let(root(t), lambda r: ~is_generic(t, r)))
     return F.array_distinct(F.transform(kept, root))
 
 
@@ -224,8 +229,9 @@ def roots_overlap(left: Column, right: Column) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     """Neighbours joined by a blank; none for fewer than two."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.get(tokens, i - 1), F.get(tokens, i)))
-    return F.when(F.size(tokens) >= 2, pairs).otherwise(F.array().cast("array<string>"))
+    empty = F.array().cast("array<string>")
+    pairs = lambda t: F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda x, y: F.concat_ws(" ", x, y))
+    return let(tokens, lambda t: F.when(F.size(t) >= 2, pairs(t)).otherwise(empty))
 
 
 def phrase(tokens: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kavak.functions.text import bigrams, bare_words, search_tokens, source_tokens
+from kavak.functions.text import bare_words, bigrams, let, search_tokens, source_tokens
 from kavak.operators.ranking import top_k
 
 # The weights of the relevance score.
@@ -91,33 +91,35 @@ def topic_page_score(text: Column, topic: Column, subtopics: Column, sibling_hit
     Under 120 signs: -1000 and 0.  Null subtopics are none; null text is empty.
     """
     raw = F.coalesce(text, F.lit(""))
-    page = bare_words(raw)
     name = bare_words(topic)
     tokens = source_tokens(topic)
-    inside = lambda t: F.contains(page, t)
-    named = (name != "") & inside(name)
-    hits = F.size(F.filter(tokens, inside))
     subs = F.filter(F.coalesce(subtopics, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
-
-    def one(sub: Column) -> Column:
-        phrase = bare_words(sub)
-        words = source_tokens(sub)
-        found = F.size(F.filter(words, inside))
-        partly = (F.size(words) > 0) & (found >= 2) & (found / F.nullif(F.size(words), F.lit(0)) >= 0.5)
-        return (
-            F.when((phrase != "") & inside(phrase), F.struct(F.lit(45).alias("s"), F.lit(2).alias("h")))
-            .when(partly, F.struct((18 + found * 4).alias("s"), F.lit(1).alias("h")))
-            .otherwise(F.struct(F.lit(0).alias("s"), F.lit(0).alias("h")))
+    parts = F.transform(subs, lambda x: F.struct(bare_words(x).alias("phrase"), source_tokens(x).alias("words")))
+    nothing = F.struct(F.lit(0).alias("s"), F.lit(0).alias("h"))
+
+    def one(page: Column, part: Column) -> Column:
+        found = lambda n: F.when((n >= 2) & (n / F.size(part["words"]) >= 0.5), F.struct((18 + n * 4).alias("s"), F.lit(1).alias("h"))).otherwise(nothing)
+        whole = (part["phrase"] != "") & F.contains(page, part["phrase"])
+        return F.when(whole, F.struct(F.lit(45).alias("s"), F.lit(2).alias("h"))).otherwise(let(F.size(F.filter(part["words"], lambda t: F.contains(page, t))), found))
+
+    def judged(page: Column) -> Column:
+        return F.struct(
+            ((name != "") & F.contains(page, name)).alias("named"),
+            F.size(F.filter(tokens, lambda t: F.contains(page, t))).alias("hits"),
+            F.aggregate(F.transform(parts, lambda x: one(page, x)), nothing, lambda a, x: F.struct((a["s"] + x["s"]).alias("s"), (a["h"] + x["h"]).alias("h"))).alias("subs"),
+            F.contains(page, F.lit("icindekiler")).alias("listing"),
         )
 
-    each = F.transform(subs, one)
-    total = F.aggregate(each, F.lit(0), lambda a, x: a + x["s"])
-    support = F.aggregate(each, F.lit(0), lambda a, x: a + x["h"])
-    score = F.when(named, 140).otherwise(0) + hits * 10 + total + F.when(inside(F.lit("icindekiler")), -300).otherwise(0) + F.when(F.length(raw) >= 700, 8).otherwise(0)
-    if sibling_hits is not None:
-        score = score + F.when(sibling_hits >= 5, -220).otherwise(0)
     short = F.length(F.trim(raw)) < 120
-    return F.struct(F.when(short, -1000).otherwise(score).cast("int").alias("score"), F.when(short, 0).otherwise(F.when(named, 2).otherwise(0) + hits + support).cast("int").alias("support"))
+
+    def score(j: Column) -> Column:
+        points = F.when(j["named"], 140).otherwise(0) + j["hits"] * 10 + j["subs"]["s"] + F.when(j["listing"], -300).otherwise(0) + F.when(F.length(raw) >= 700, 8).otherwise(0)
+        if sibling_hits is not None:
+            points = points + F.when(sibling_hits >= 5, -220).otherwise(0)
+        support = F.when(j["named"], 2).otherwise(0) + j["hits"] + j["subs"]["h"]
+        return F.struct(F.when(short, -1000).otherwise(points).cast("int").alias("score"), F.when(short, 0).otherwise(support).cast("int").alias("support"))
+
+    return let(let(bare_words(raw), judged), score)
 
 
 def excerpts(pages: DataFrame, id: str, text: str, phrases: Column, tokens: Column, most: int = 6000, keep: int = 8, before: int = 4, after: int = 8) -> DataFrame:
@@ -130,8 +132,8 @@ def excerpts(pages: DataFrame, id: str, text: str, phrases: Column, tokens: Colu
     lines = F.filter(F.transform(F.split("t", "\\R"), F.trim), lambda x: x != "")
     long = base.filter(F.length("t") > most).withColumn("lines", lines).withColumn("n", F.size("lines"))
     line = long.select("id", "ph", "tk", F.posexplode("lines").alias("i", "line"))
-    norm = bare_words(F.col("line"))
-    score = F.when(F.exists("ph", lambda p: (F.length(p) >= 5) & F.contains(norm, p)), 20).otherwise(0) + 2 * F.size(F.filter("tk", lambda t: F.contains(norm, t)))
+    points = lambda norm: F.when(F.exists("ph", lambda p: (F.length(p) >= 5) & F.contains(norm, p)), 20).otherwise(0) + 2 * F.size(F.filter("tk", lambda t: F.contains(norm, t)))
+    score = let(bare_words(F.col("line")), points)
     best = top_k(line.select("id", "i", score.alias("s")).filter("s > 0"), ["id"], [F.desc("s"), F.col("i")], keep)
     wanted = best.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("i") - before, F.col("i") + after))))).alias("at"))
     cut = long.join(wanted, "id", "left").select(

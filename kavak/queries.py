@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kavak.oracle import ORACLE as ORACLE
-from kavak.plans import content
+from kavak.plans import content, curriculum, learners
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (content.p1_found, content.p1_places, content.p4_found, content.p4_report, content.p4_composite)
+    f.__name__: f
+    for f in (*curriculum.QUERIES, *learners.QUERIES, content.p1_found, content.p1_places, content.p4_found, content.p4_report, content.p4_composite)
 }
 
