@@ -91,8 +91,8 @@ def confidence(share: Column) -> Column:
 
 
 def share_of_hundred(score: Column) -> Column:
-    """score / 100, kept between 0 and 1."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score / 100))
+    """score / 100, kept between 0 and 1; null for null."""
+    return F.when(score.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), score / 100)))
 
 
 def first_of(*choices: Column) -> Column:

@@ -23,7 +23,7 @@ def contained(texts: DataFrame, id: str, text: str, names: DataFrame, name: str,
     """
     t = texts.select(F.col(id).alias("_id"), norm(F.col(text)).alias("_text")).filter(F.col("_text").isNotNull())
     n = names.withColumn("_norm", norm(F.col(name))).filter(F.length("_norm") >= 3).withColumn("_piece", F.substring("_norm", 1, 3))
-    cut = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substring(x, i, F.lit(3))))
+    cut = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit("(?s)(?=(...))"), F.lit(1)))
     pieces = let(F.col("_text"), cut)
     met = t.withColumn("_piece", F.explode(pieces)).join(n, "_piece").filter(F.contains("_text", F.col("_norm")))
     return met.select(F.col("_id").alias(id), *names.columns, F.length("_norm").alias("matched"))

@@ -85,10 +85,11 @@ def candidate_status(best: DataFrame) -> DataFrame:
     return two.select("outcome_id", status.alias("status"), margin.alias("margin"))
 
 
-def topic_page_score(text: Column, topic: Column, subtopics: Column, sibling_hits: Column | None = None) -> Column:
+def topic_page_score(text: Column, topic: Column, subtopics: Column, sibling_hits: Column | None = None, page_words: Column | None = None) -> Column:
     """Struct (score, support) of a page for a topic and its subtopics by contained phrases and tokens.
 
     Under 120 signs: -1000 and 0.  Null subtopics are none; null text is empty.
+    ``page_words`` is the text's :func:`bare_words`, if it is at hand.
     """
     raw = F.coalesce(text, F.lit(""))
     name = bare_words(topic)
@@ -119,7 +120,7 @@ def topic_page_score(text: Column, topic: Column, subtopics: Column, sibling_hit
         support = F.when(j["named"], 2).otherwise(0) + j["hits"] + j["subs"]["h"]
         return F.struct(F.when(short, -1000).otherwise(points).cast("int").alias("score"), F.when(short, 0).otherwise(support).cast("int").alias("support"))
 
-    return let(let(bare_words(raw), judged), score)
+    return let(let(bare_words(raw) if page_words is None else page_words, judged), score)
 
 
 def excerpts(pages: DataFrame, id: str, text: str, phrases: Column, tokens: Column, most: int = 6000, keep: int = 8, before: int = 4, after: int = 8) -> DataFrame:

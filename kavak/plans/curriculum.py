@@ -225,15 +225,18 @@ def topic_pages(spark: SparkSession, folder: str) -> DataFrame:
     parts = topics.select("topic_no", F.explode(F.concat(F.array("topic"), F.coalesce("subtopics", F.array().cast("array<string>")))).alias("part"))
     tokens = parts.select("topic_no", F.explode(F.array_union(X.source_tokens(F.col("part")), F.array(X.bare_words(F.col("part"))))).alias("piece")).filter(F.length("piece") >= 3).distinct()
     met = matching.contained(docs, "doc_id", "text", tokens, "piece", X.bare_words).select("doc_id", "topic_no").distinct()
-    scored = met.join(docs, "doc_id").join(topics, "topic_no").select("topic_no", "doc_id", scoring.topic_page_score(F.col("text"), F.col("topic"), F.col("subtopics")).alias("s"))
+    plain = docs.withColumn("words", X.bare_words(F.col("text")))
+    score = scoring.topic_page_score(F.col("text"), F.col("topic"), F.col("subtopics"), page_words=F.col("words"))
+    scored = met.join(topics, "topic_no").join(plain, "doc_id").select("topic_no", "doc_id", score.alias("s"))
     kept = scored.select("topic_no", "doc_id", "s.score", "s.support").filter("score >= 30 and support >= 1")
     return ranking.top_k(kept, ["topic_no"], [F.desc("score"), F.desc("support"), F.col("doc_id")], 3)
 
 
 def resolve_topic_longest(spark: SparkSession, folder: str) -> DataFrame:
-    """The longest history topic that stands in each document, the first of the list on ties."""
-    names = table(spark, folder, "tyt_tarih").select("topic_no", "topic")
-    return matching.longest_contained(table(spark, folder, "documents"), "doc_id", "text", names, "topic", "topic_no", X.turkish_small).select("doc_id", "topic_no")
+    """The longest history topic that stands in each topic typed in the log, the first of the list on ties."""
+    log = table(spark, folder, "study_log").filter(F.col("topic").isNotNull()).select("topic").distinct()
+    names = table(spark, folder, "tyt_tarih").select("topic_no", F.col("topic").alias("name"))
+    return matching.longest_contained(log, "topic", "topic", names, "name", "topic_no", X.turkish_small).select("topic", "topic_no")
 
 
 def resolve_topic_unique(spark: SparkSession, folder: str) -> DataFrame:
