@@ -134,7 +134,7 @@ def one_line(c: Column) -> Column:
 
 def distinct_values(values: Column) -> Column:
     """Trimmed, not empty, first occurrences in order."""
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def package_name(c: Column) -> Column:

@@ -130,7 +130,7 @@ def excerpts(pages: DataFrame, id: str, text: str, phrases: Column, tokens: Colu
     token in it.  ``phrases`` and ``tokens`` are arrays over the page's columns.
     """
     base = pages.select(F.col(id).alias("id"), F.trim(F.coalesce(F.col(text), F.lit(""))).alias("t"), phrases.alias("ph"), tokens.alias("tk"))
-    lines = F.filter(F.transform(F.split("t", "\\R"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("t", "\\R"), lambda x: F.trim(x)), lambda x: x != "")
     long = base.filter(F.length("t") > most).withColumn("lines", lines).withColumn("n", F.size("lines"))
     line = long.select("id", "ph", "tk", F.posexplode("lines").alias("i", "line"))
     points = lambda norm: F.when(F.exists("ph", lambda p: (F.length(p) >= 5) & F.contains(norm, p)), 20).otherwise(0) + 2 * F.size(F.filter("tk", lambda t: F.contains(norm, t)))
