@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from kavak.functions.text import let, question_tokens
 from kavak.operators.ranking import first_wins, unique_best
+#: Names up to this number are sent to all workers.
+FEW_NAMES = 20_000
 
 
 def contained(texts: DataFrame, id: str, text: str, names: DataFrame, name: str, norm) -> DataFrame:
@@ -24,9 +26,13 @@ def contained(texts: DataFrame, id: str, text: str, names: DataFrame, name: str,
     t = texts.select(F.col(id).alias("_id"), norm(F.col(text)).alias("_text")).filter(F.col("_text").isNotNull())
     n = names.withColumn("_norm", norm(F.col(name))).filter(F.length("_norm") >= 3).withColumn("_piece", F.substring("_norm", 1, 3))
     cut = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit("(?s)(?=(...))"), F.lit(1)))
-    pieces = let(F.col("_text"), cut)
-    met = t.withColumn("_piece", F.explode(pieces)).join(n, "_piece").filter(F.contains("_text", F.col("_norm")))
-    return met.select(F.col("_id").alias(id), *names.columns, F.length("_norm").alias("matched"))
+    out = [F.col("_id").alias(id), *names.columns, F.length("_norm").alias("matched")]
+    if n.limit(FEW_NAMES + 1).count() <= FEW_NAMES:
+        # a bounded list goes to all texts, which stay where they are
+        return t.withColumn("_piece", F.explode(let(F.col("_text"), cut))).join(F.broadcast(n), "_piece").filter(F.contains("_text", F.col("_norm"))).select(*out)
+    # else pieces meet without the texts, and the texts come back for the pairs met
+    met = t.select("_id", F.explode(let(F.col("_text"), cut)).alias("_piece")).join(n, "_piece")
+    return met.join(t, "_id").filter(F.contains("_text", F.col("_norm"))).distinct().select(*out)
 
 
 def longest_contained(texts: DataFrame, id: str, text: str, names: DataFrame, name: str, place: str, norm) -> DataFrame:

@@ -19,11 +19,16 @@ from kavak.operators.ranking import top_k
 WEIGHT_TITLE, WEIGHT_THEME, WEIGHT_FRAMEWORK = 8.0, 0.5, 0.15
 WEIGHT_BIGRAM = 12.0
 AFFINE, NOT_AFFINE, SINGLE_HIT, HIT_BONUS, MOST_BONUS_HITS, TF_BONUS, MOST_TF = 1.20, 0.82, 0.55, 0.08, 5, 0.15, 3
+#: Outcomes up to this number (some ten terms each) are sent to all workers.
+FEW_OUTCOMES = 20_000
 
 
 def postings(pages: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
-    """``(keys, token, tf)`` of each page's search tokens; a page without tokens has none."""
-    return pages.select(*keys, F.explode(search_tokens(text)).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    """``(keys, token, tf)`` of each page's search tokens; a page without tokens has none.
+
+    The rows lie by page, so sums over a page's tokens need no further shuffle.
+    """
+    return pages.select(*keys, F.explode(search_tokens(text)).alias("token")).repartition(*keys).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -51,7 +56,9 @@ def page_scores(outcomes: DataFrame, pages: DataFrame, page_keys: Sequence[str],
     weighted = term.join(df, "token").crossJoin(n)  # one row
     idf = F.log((F.col("n_pages") + 1) / (F.col("df") + 1)) + 1
     weighted = weighted.select("token", "outcome_id", "grade", "field", (F.col("weight") * idf).alias("worth"))
-    hit = post.join(weighted, "token")
+    # a bounded list of outcomes goes to all pages; a longer one meets them by shuffle
+    few = outcomes.limit(FEW_OUTCOMES + 1).count() <= FEW_OUTCOMES
+    hit = post.join(F.broadcast(weighted) if few else weighted, "token")
     tf = 1 + TF_BONUS * (F.least(F.col("tf"), F.lit(MOST_TF)) - 1)
     title = F.col("field") == "title"
     sums = (
