@@ -92,17 +92,23 @@ def candidate_status(best: DataFrame) -> DataFrame:
     return two.select("outcome_id", status.alias("status"), margin.alias("margin"))
 
 
-def topic_page_score(text: Column, topic: Column, subtopics: Column, sibling_hits: Column | None = None, page_words: Column | None = None) -> Column:
+def topic_terms(topic: Column, subtopics: Column) -> Column:
+    """What :func:`topic_page_score` looks for: a struct to be made once a topic."""
+    subs = F.filter(F.coalesce(subtopics, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    parts = F.transform(subs, lambda x: F.struct(bare_words(x).alias("phrase"), source_tokens(x).alias("words")))
+    return F.struct(bare_words(topic).alias("name"), source_tokens(topic).alias("tokens"), parts.alias("parts"))
+
+
+def topic_page_score(text: Column, topic: Column, subtopics: Column, sibling_hits: Column | None = None, page_words: Column | None = None, terms: Column | None = None) -> Column:
     """Struct (score, support) of a page for a topic and its subtopics by contained phrases and tokens.
 
     Under 120 signs: -1000 and 0.  Null subtopics are none; null text is empty.
-    ``page_words`` is the text's :func:`bare_words`, if it is at hand.
+    ``page_words`` is the text's :func:`bare_words` and ``terms`` the topic's
+    :func:`topic_terms`, if they are at hand.
     """
     raw = F.coalesce(text, F.lit(""))
-    name = bare_words(topic)
-    tokens = source_tokens(topic)
-    subs = F.filter(F.coalesce(subtopics, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
-    parts = F.transform(subs, lambda x: F.struct(bare_words(x).alias("phrase"), source_tokens(x).alias("words")))
+    terms = topic_terms(topic, subtopics) if terms is None else terms
+    name, tokens, parts = terms["name"], terms["tokens"], terms["parts"]
     nothing = F.struct(F.lit(0).alias("s"), F.lit(0).alias("h"))
 
     def one(page: Column, part: Column) -> Column:

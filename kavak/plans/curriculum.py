@@ -226,8 +226,9 @@ def topic_pages(spark: SparkSession, folder: str) -> DataFrame:
     tokens = parts.select("topic_no", F.explode(F.array_union(X.source_tokens(F.col("part")), F.array(X.bare_words(F.col("part"))))).alias("piece")).filter(F.length("piece") >= 3).distinct()
     met = matching.contained(docs, "doc_id", "text", tokens, "piece", X.bare_words).select("doc_id", "topic_no").distinct()
     plain = docs.withColumn("words", X.bare_words(F.col("text")))
-    score = scoring.topic_page_score(F.col("text"), F.col("topic"), F.col("subtopics"), page_words=F.col("words"))
-    scored = met.join(topics, "topic_no").join(plain, "doc_id").select("topic_no", "doc_id", score.alias("s"))
+    sought = topics.withColumn("terms", scoring.topic_terms(F.col("topic"), F.col("subtopics")))
+    score = scoring.topic_page_score(F.col("text"), F.col("topic"), F.col("subtopics"), page_words=F.col("words"), terms=F.col("terms"))
+    scored = met.join(sought, "topic_no").join(plain, "doc_id").select("topic_no", "doc_id", score.alias("s"))
     kept = scored.select("topic_no", "doc_id", "s.score", "s.support").filter("score >= 30 and support >= 1")
     return ranking.top_k(kept, ["topic_no"], [F.desc("score"), F.desc("support"), F.col("doc_id")], 3)
 
