@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kavak.plans.lineage import written
@@ -128,6 +128,7 @@ def _pairs_of(batch: pa.Table) -> pa.Table:
 
 
 def _nodes_of(batch: pa.Table) -> pa.Table:
+    batch = batch.sort_by("node")
     names, parent = _rows(batch)
     forest = Forest(parent)
     path: list[list[str]] = [[]] * len(names)
@@ -206,10 +207,12 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> DataFra
 
     ``first`` and ``last`` are the node's range of preorder numbers in its
     group.  A loop node starts a path of its own (depth 0); ``descendants`` of a
-    loop node counts all that the loop leads to, itself included.  Groups too
-    large for one task, or with several parents at a node, have their depth,
-    root and descendants from :func:`ancestors` and null ranges; their path
-    names the ancestors, farthest first.
+    loop node counts all that the loop leads to, itself included.  Siblings, and
+    the roots and loop nodes of a group, are numbered by name.  Groups too large
+    for one task get the same by joins.  Groups with several parents at a node
+    have no preorder: their ranges are null, their depth, root and descendants
+    come from :func:`ancestors`, and their path names all ancestors, loops
+    included, farthest first.
     """
     rows = written(linked(nodes, edges), "linked")
     kind = rows.schema["group"].dataType.simpleString()
@@ -219,15 +222,20 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> DataFra
     rest = rows.filter(~small)
     if rest.isEmpty():
         return near
-    all_nodes = rest.select("group", "node").distinct()
+    all_nodes = rest.select("group", "node", (F.col("parents") <= 1).alias("one")).distinct()
     ways = _doubled(rest.filter(F.col("parent").isNotNull()).select("group", F.col("parent").alias("ancestor"), "node"))
     looped = ways.filter(F.col("ancestor") == F.col("node")).select("group", "node").withColumn("looped", F.lit(True))
     on_loop = looped.select("group", F.col("node").alias("ancestor"), F.lit(True).alias("hot"))
-    ups = ways.join(on_loop, ["group", "ancestor"], "left").groupBy("group", "node").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("d"), "ancestor"))).alias("up"), F.max("steps").alias("depth"), F.max_by("ancestor", "steps").alias("top"), F.max("hot").alias("hot")
-    )
+    stops = ways.join(on_loop, ["group", "ancestor"]).groupBy("group", "node").agg(F.min("steps").alias("stop"))
+    ways_up = ways.join(stops, ["group", "node"], "left").join(all_nodes, ["group", "node"])
+    # a single way up ends at the nearest loop node; with several parents all loop nodes count
+    opened = written(ways_up.join(looped, ["group", "node"], "left").filter(F.col("looped").isNull() & (~F.col("one") | F.col("stop").isNull() | (F.col("steps") <= F.col("stop")))), "opened")
+    ups = opened.groupBy("group", "node").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("d"), "ancestor"))).alias("up"),
+        F.max("steps").alias("depth"), F.max_by("ancestor", "steps").alias("top"), F.max(F.col("stop").isNotNull()).alias("hot"),
+    )
     downs = ways.groupBy("group", F.col("ancestor").alias("node")).agg(F.count("*").alias("descendants"))
-    far = all_nodes.join(ups, ["group", "node"], "left").join(downs, ["group", "node"], "left").join(looped, ["group", "node"], "left")
+    far = all_nodes.join(ups, ["group", "node"], "left").join(_ranges(all_nodes.filter("one"), opened.filter("one")), ["group", "node"], "left").join(downs, ["group", "node"], "left").join(looped, ["group", "node"], "left")
     is_loop = F.coalesce("looped", F.lit(False))
     far = far.select(
         "group",
@@ -235,8 +243,8 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> DataFra
         F.when(is_loop | F.col("up").isNull(), F.array("node")).otherwise(F.concat(F.transform("up", lambda x: x["ancestor"]), F.array("node"))).alias("path"),
         F.when(is_loop, F.lit(0)).otherwise(F.coalesce("depth", F.lit(0))).cast("int").alias("depth"),
         F.when(is_loop, F.col("node")).otherwise(F.coalesce("top", "node")).alias("root"),
-        F.lit(None).cast("long").alias("first"),
-        F.lit(None).cast("long").alias("last"),
+        "first",
+        "last",
         F.coalesce("descendants", F.lit(0)).cast("long").alias("descendants"),
         is_loop.alias("looped"),
         (F.coalesce("hot", F.lit(False)) & ~is_loop).alias("below_loop"),
@@ -244,6 +252,18 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> DataFra
     return near.union(far)
 
 
+def _ranges(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """``(group, node, first, last)`` of trees whose ancestor pairs are ``ways``: the sum of the places among siblings along the way up."""
+    sizes = ways.groupBy("group", F.col("ancestor").alias("node")).agg(F.count("*").alias("below"))
+    parents = ways.filter("steps = 1").select("group", "node", F.col("ancestor").alias("parent"))
+    sized = nodes.select("group", "node").join(sizes, ["group", "node"], "left").join(parents, ["group", "node"], "left").withColumn("size", F.coalesce("below", F.lit(0)) + 1)
+    before = F.sum("size").over(Window.partitionBy("group", "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    local = written(sized.select("group", "node", "size", (before + F.col("parent").isNotNull().cast("long")).alias("step")), "siblings")
+    above = ways.join(local.select("group", F.col("node").alias("ancestor"), "step"), ["group", "ancestor"]).groupBy("group", "node").agg(F.sum("step").alias("above"))
+    first = F.col("step") + F.coalesce("above", F.lit(0))
+    return local.join(above, ["group", "node"], "left").select("group", "node", first.alias("first"), (first + F.col("size") - 1).alias("last"))
+
+
 def named_edges(rows: DataFrame, group: str, node: str, befores: str, afters: str, own_prefix: str = "AYT ", other_prefix: str = "TYT ") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of rows that name their predecessors and successors in two string arrays.
 

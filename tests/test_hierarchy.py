@@ -116,3 +116,13 @@ def test_large_group_is_split(spark):
     nodes = spark.createDataFrame(wide + [(2, "a"), (2, "b")], NODES)
     edges = spark.createDataFrame([(1, "n0", f"n{i}") for i in range(1, 3000)] + [(2, "a", "b")], EDGES)
     assert ancestors(nodes, edges, 1000).groupBy("group").agg(F.count("*").alias("n")).orderBy("group").collect()[0].n == 2999
+
+
+def test_all_rows_and_ranges_are_the_same_either_way(spark):
+    nodes, edges = random_forest(9, 25)
+    nodes += [(9, x) for x in "ABC"]
+    edges += [(9, "A", "B"), (9, "B", "A"), (9, "A", "C")]
+    n, e = spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
+    near = {(r.group, r.node): r for r in hierarchy(n, e).collect()}
+    assert near == {(r.group, r.node): r for r in hierarchy(n, e, 0).collect()}
+    assert near[(9, "C")].path == ["A", "C"] and near[(9, "C")].root == "A" and near[(9, "C")]["first"] is not None
