@@ -71,6 +71,11 @@ def first_topics(spark: SparkSession, folder: str) -> DataFrame:
     return learner.first_seen(study_log(spark, folder), "student_id", "topic", "log_id").filter("place <= 5").select("student_id", "topic", "first_at", "place")
 
 
+def topics_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Every topic of each learner once, in the order in which they came."""
+    return learner.first_seen(study_log(spark, folder), "student_id", "topic", "log_id").select("student_id", "topic", "first_at", "place")
+
+
 def last_topic(spark: SparkSession, folder: str) -> DataFrame:
     """The last topic of each learner."""
     rows = study_log(spark, folder).filter(F.col("topic").isNotNull())
@@ -85,5 +90,5 @@ def study_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = (
-    topic_study_summary, learner_insight, topic_history, distinct_subjects, score_bands, study_days, progress_state, completed_and_weak, first_topics, last_topic, study_windows,
+    topic_study_summary, learner_insight, topic_history, distinct_subjects, score_bands, study_days, progress_state, completed_and_weak, first_topics, topics_in_order, last_topic, study_windows,
 )

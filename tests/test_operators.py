@@ -115,3 +115,12 @@ def test_coverage(spark):
     got = {(r.grouping, r.x, r.y): r.n for r in coverage.counted(rows, [["x"], ["y"], []]).collect()}
     assert got == {("x", "a", None): 2, ("x", "b", None): 1, ("x", None, None): 1, ("y", None, 1): 3, ("y", None, 2): 1, ("all", None, None): 4}
     assert {r.level for r in coverage.rolled_up(rows, ["x", "y"]).collect()} == {0, 1, 2}
+
+
+def test_every_topic_of_a_learner_is_kept(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    log = [(i, 1, f"konu {i % 8}", i) for i in range(20)] + [(20, 2, None, 20)]
+    spark.createDataFrame(log, "log_id long, student_id long, topic string, at long").selectExpr("*", "timestamp_seconds(at) AS logged_at").drop("at").write.parquet(f"{tmp_path}/study_log.parquet")
+    got = [tuple(r) for r in entry.queries()["topics_in_order"](spark, str(tmp_path)).orderBy("place").collect()]
+    assert got == [(1, f"konu {i}", i, i + 1) for i in range(8)]
