@@ -317,11 +317,13 @@ def chunk_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extractive_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """For each outcome with evidence the sentences that share most with its title, under a budget, in source order."""
+    """For each outcome with evidence the sentences that share most with its title, then its theme, under a budget, in source order."""
     rows = table(spark, folder, "evidence_records").filter(F.col("evidence_text").isNotNull() & F.col("outcome_title").isNotNull())
-    s = rows.select("record_no", X.grounding_tokens(F.col("outcome_title")).alias("q"), F.posexplode(X.sentences_of(F.col("evidence_text"))).alias("place", "sentence"))
-    scored = s.withColumn("score", (6 * F.size(F.array_intersect("q", X.grounding_tokens(F.col("sentence"))))).cast("long"))
-    return scoring.within_budget(scored.drop("q"), "record_no", "sentence", "score", "place", 600, 4)
+    q, way = X.grounding_tokens(F.col("outcome_title")), X.grounding_tokens(F.coalesce("theme_name", F.lit("")))
+    s = rows.select("record_no", q.alias("q"), way.alias("way"), F.posexplode(X.sentences_of(F.col("evidence_text"))).alias("place", "sentence"))
+    tokens = s.withColumn("tokens", X.grounding_tokens(F.col("sentence")))
+    scored = tokens.withColumn("score", (6 * F.size(F.array_intersect("q", "tokens")) + 2 * F.size(F.array_intersect("way", "tokens"))).cast("long"))
+    return scoring.within_budget(scored.drop("q", "way", "tokens"), "record_no", "sentence", "score", "place")
 
 
 def excerpt_windows(spark: SparkSession, folder: str) -> DataFrame:

@@ -124,3 +124,16 @@ def test_every_topic_of_a_learner_is_kept(spark, tmp_path):
     spark.createDataFrame(log, "log_id long, student_id long, topic string, at long").selectExpr("*", "timestamp_seconds(at) AS logged_at").drop("at").write.parquet(f"{tmp_path}/study_log.parquet")
     got = [tuple(r) for r in entry.queries()["topics_in_order"](spark, str(tmp_path)).orderBy("place").collect()]
     assert got == [(1, f"konu {i}", i, i + 1) for i in range(8)]
+
+
+def test_answers_have_the_whole_budget_and_the_theme(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    same = [f"Fotosentez olayının {i} numaralı basamağı yaprakta gerçekleşir ve burada enerji üretilir." for i in range(14)]
+    text = "\n".join([*same, "Ekosistem içinde fotosentez yapan canlılar üretici olarak bilinir."])
+    rows = [(1, "Fotosentez", "Ekosistem", text), (2, "Fotosentez", None, f"{'a' * 5000} fotosentez.\n{'b' * 300} fotosentez.\n{'c' * 100} olur."), (3, None, None, text)]
+    spark.createDataFrame(rows, "record_no long, outcome_title string, theme_name string, evidence_text string").write.parquet(f"{tmp_path}/evidence_records.parquet")
+    got = {r.record_no: r for r in entry.queries()["extractive_answers"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2} and got[1].n_chunks == 14 and len(got[1].answer) > 600
+    assert "Ekosistem" in got[1].answer and " 12 " in got[1].answer and " 13 " not in got[1].answer
+    assert got[2].n_chunks == 2 and "b" * 300 not in got[2].answer and "c" * 100 in got[2].answer
