@@ -1,21 +1,31 @@
-"""Values typed by hand, mapped to the entry of a reference list that was meant, or to none.
-
-The reference entries are paths of a trie, written without marks and case.
-Alias paths lead to the same entry: its words in another order, some of its
-words alone where they name one entry only, and its words cut short ("tak
-hes").  A typed value runs through the trie as a Levenshtein automaton (with
-swapped neighbours as one edit): the state is a row of edit distances, a branch
-is left as soon as no distance within the limit remains.  The limit depends on
-the value's length and on the kind of path.  All entries within it come out;
-the nearest one is meant, and a tie between entries names none.
+"""Values typed by hand, mapped to the entries of a reference list that may be meant, or to none.
+
+The reference entries stand in two tries, without marks and case: one holds
+their whole names, the other their words.  A typed value runs through a trie as
+a Levenshtein automaton (with swapped neighbours as one edit): the state is a
+row of edit distances, a branch is left as soon as no distance within the limit
+remains, and the limit depends on the length of what was typed.
+
+Alias paths lead from the words to the same entries, without being written out
+one by one: each typed word finds the entry words within its limit, and those
+that it cuts short ("tak hes").  An entry is reached
+
+* ``WHOLE``: by its name, or by all its words in any order;
+* ``HELD``: by all its words, with further words around them ("test 3");
+* ``SOME``: by at least two of its words and nothing but numbers around them;
+* ``SHORT``: by all its words, some of them cut short.
+
+Further words are never passed over where a word of the entry is missing, so a
+value that only shares words with an entry doesn't reach it.  All entries
+reached come out with their edits; the nearest is meant, and a tie names none.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
-from itertools import combinations, permutations
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,19 +33,19 @@ from pyspark.sql import functions as F
 
 from kavak.llm.batches import mapped
 from kavak.llm.plain import plain_many
+from kavak.plans.lineage import written
 
 NONE = -1
-# Words around a name that say what was done with it or where it stands.
-AROUND = ("test", "video", "konu", "tekrari", "tekrar", "soru", "sorulari", "cozumu", "bolum", "unite", "tyt", "ayt")
 _FOLD = str.maketrans("çğıöşüâîûäàáéèêëïíóôúùñ", "cgiosuaiuaaaeeeeiioouun")
 # Small letters of other scripts whose capitals look like Latin ones (a capital was exchanged, then the case).
 _FOLD |= str.maketrans("вкмнтрсуохаеіѕјβεζηικμνορτυχα", "bkmhtpcyoxaeisjbezhikmvoptyxa")
 _WORD = re.compile(r"[^\W_]+")
-#: The least letters of a word that is cut short.
-CUT = 3
-#: More words than this are not put into every order.
-ORDERED = 5
-WHOLE, SOME, SHORT = 0, 1, 2
+#: The least letters of a word that is cut short, and of all words of an entry reached by some of them.
+CUT, LEAST_SOME = 3, 6
+#: Names whose tries one worker holds; a longer list is searched in pieces of so many.
+PIECE = 10_000
+WHOLE, HELD, SOME, SHORT = range(4)
+KINDS = ("whole", "held", "some", "short")
 
 
 def folded(text: str) -> list[str]:
@@ -45,23 +55,17 @@ def folded(text: str) -> list[str]:
 
 
 def limit(length: int, kind: int) -> int:
-    """Edits allowed on a path of ``kind`` for a value of ``length`` signs."""
-    if kind == WHOLE:
+    """Edits allowed in all on a path of ``kind`` for ``length`` signs."""
+    if kind in (WHOLE, HELD):
         return 0 if length < 4 else 1 if length < 8 else 2 if length < 11 else 3 if length < 24 else 4
     if kind == SOME:
         return 0 if length < 8 else 1 if length < 14 else 2
     return 0 if length < 12 else 1
 
 
-def _one_edit(a: str, b: str) -> bool:
-    """Whether one insertion, deletion, exchange or swap of neighbours at most parts two words."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    rest = a[i:], b[i:]
-    return rest[0][1:] == rest[1][1:] or rest[0][1:] == rest[1] or rest[0] == rest[1][1:] or (rest[0][:2] == rest[1][:2][::-1] and rest[0][2:] == rest[1][2:])
+def word_limit(length: int) -> int:
+    """Edits allowed in one word of ``length`` signs."""
+    return 1 if length < 5 else 2 if length < 10 else 3
 
 
 def _step(most: int, row: tuple[int, ...], before: tuple[int, ...] | None, same: int, swapped: int, depth: int, length: int) -> tuple[int, ...] | None:
@@ -90,74 +94,49 @@ def _step(most: int, row: tuple[int, ...], before: tuple[int, ...] | None, same:
 
 
 class _Node:
-    __slots__ = ("next", "ends")
+    __slots__ = ("next", "ends", "below")
 
     def __init__(self) -> None:
-        self.next: dict[str, list[_Node]] = {}
-        self.ends: list[tuple[int, int]] = []
+        self.next: dict[str, _Node] = {}
+        self.ends: list[int] = []
+        self.below: list[int] = []
 
 
 class Trie:
-    """Entries and their alias paths; ``entries`` are (number, name)."""
+    """Strings with a number each; :meth:`near` finds those within some edits of a value."""
 
-    def __init__(self, entries: Sequence[tuple[int, str]]) -> None:
+    def __init__(self, strings: Iterable[tuple[int, str]], cut: int = 0) -> None:
+        """With ``cut`` each beginning of so many letters or more leads to the string as well (:meth:`begun`)."""
         self.root = _Node()
-        self.exact: dict[str, set[tuple[int, int]]] = {}
-        sets = {n: folded(name) for n, name in entries}
-        self.words = {w for words in sets.values() for w in words}
-        self.judged: dict[str, bool] = {}
         self.steps: dict[int, dict] = {}
-        for n, words in sets.items():
-            self._orders(n, words, WHOLE)
-            for size in range(2, len(words)):
-                for some in combinations(words, size):
-                    if sum(len(w) for w in some) >= 6 and self._alone(n, some, sets):
-                        self._orders(n, list(some), SOME)
-            self._cut(n, words)
-
-    @staticmethod
-    def _alone(n: int, some: Sequence[str], sets: dict[int, list[str]]) -> bool:
-        """Whether the words stand together in this entry only."""
-        return not any(m != n and set(some) <= set(words) for m, words in sets.items())
-
-    def _orders(self, n: int, words: list[str], kind: int) -> None:
-        for order in set(permutations(words)) if len(words) <= ORDERED else {tuple(words)}:
-            path = " ".join(order)
-            self.exact.setdefault(path, set()).add((n, kind))
+        for n, text in strings:
             node = self.root
-            for c in path:
-                node = node.next.setdefault(c, [_Node()])[0]
-            node.ends.append((n, kind))
-
-    def _cut(self, n: int, words: list[str]) -> None:
-        """A path on which every word of ``CUT`` letters or more may end early."""
-        node = _Node()
-        self.root.next.setdefault(words[0][0], []).append(node) if words else None
-        for i, word in enumerate(words):
-            last = i == len(words) - 1
-            after = None if last else _Node()
-            for k in range(1, len(word) + 1):
-                if k == len(word) or k >= CUT:
-                    if last:
-                        node.ends.append((n, SHORT))
-                    else:
-                        node.next.setdefault(" ", []).append(after)
-                if k < len(word):
-                    follow = _Node()
-                    node.next.setdefault(word[k], []).append(follow)
-                    node = follow
-            if not last:
-                node = _Node()
-                after.next.setdefault(words[i + 1][0], []).append(node)
-
-    def within(self, value: str) -> dict[int, tuple[int, int]]:
-        """Entry -> (edits, kind) of every entry within the limit of the value's length."""
-        if value in self.exact:
-            return {n: (0, kind) for n, kind in self.exact[value]}
-        length = len(value)
-        most = limit(length, WHOLE)
-        found: dict[int, tuple[int, int]] = {}
-        wide = 2 * most + 1
+            for depth, c in enumerate(text, 1):
+                node = node.next.setdefault(c, _Node())
+                if cut and cut <= depth < len(text):
+                    node.below.append(n)
+            node.ends.append(n)
+
+    def at(self, value: str) -> _Node | None:
+        node = self.root
+        for c in value:
+            node = node.next.get(c)
+            if node is None:
+                return None
+        return node
+
+    def begun(self, value: str) -> list[int]:
+        """The strings that ``value`` cuts short."""
+        node = self.at(value)
+        return node.below if node else []
+
+    def near(self, value: str, most: int) -> dict[int, int]:
+        """Number -> edits of every string within ``most`` edits of ``value``."""
+        if not most:
+            node = self.at(value)
+            return dict.fromkeys(node.ends, 0) if node else {}
+        length, wide = len(value), 2 * most + 1
+        found: dict[int, int] = {}
         window = (1 << wide) - 1
         # where each sign stands in the value, moved so that windows begin at bit ``depth``
         places: dict[str, int] = {}
@@ -167,7 +146,7 @@ class Trie:
         if len(steps) > 400_000:
             steps.clear()
         first = tuple(k - most if k >= most and k - most <= length else most + 1 for k in range(wide))
-        todo = [(node, c, 1, first, None, "") for c, nodes in self.root.next.items() for node in nodes]
+        todo = [(node, c, 1, first, None, "") for c, node in self.root.next.items()]
         get = places.get
         while todo:
             node, c, depth, row, before, came = todo.pop()
@@ -181,84 +160,200 @@ class Trie:
                 new = steps[key] = _step(most, row, before, same, swapped, depth, length)
             if new is None:
                 continue
-            if node.ends and -most <= rest <= most:
-                cost = new[rest + most]
-                for n, kind in node.ends:
-                    if cost <= limit(length, kind) and (n not in found or (cost, kind) < found[n]):
-                        found[n] = (cost, kind)
+            if node.ends and -most <= rest <= most and new[rest + most] <= most:
+                for n in node.ends:
+                    found[n] = min(new[rest + most], found.get(n, most))
             below = depth + 1
-            for c2, nodes in node.next.items():
-                for follow in nodes:
-                    todo.append((follow, c2, below, new, row, c))
+            for c2, follow in node.next.items():
+                todo.append((follow, c2, below, new, row, c))
         return found
 
-    def _around(self, word: str) -> bool:
-        """Whether a word, perhaps mistyped, only stands around a name."""
-        known = self.judged.get(word)
-        if known is None:
-            known = word in AROUND or word.isdigit() or (len(word) >= 4 and any(len(w) >= 3 and _one_edit(word, w) for w in AROUND) and not any(w.startswith(word) or _one_edit(word, w) for w in self.words))
-            if len(self.judged) < 100_000:
-                self.judged[word] = known
-        return known
-
-    def core(self, text: str) -> list[str]:
-        """The folded words of a text without those around its name."""
-        return [w for w in folded(text) if not self._around(w)]
-
-    def meant(self, text: str | None) -> int:
-        """The number of the entry meant by a plain text, ``NONE`` if it names none or several alike."""
-        if not text:
-            return NONE
-        core = self.core(text)
-        best: dict[int, tuple[int, int]] = {}
-        for some in [core] + ([core[1:]] if len(core) > 2 and core[0] == "tarih" else []):
-            if some and not best:
-                best = self.within(" ".join(some))
-        if not best:
-            return NONE
-        least = min(best.values())
-        meant = [n for n, how in best.items() if how == least]
-        return meant[0] if len(meant) == 1 else NONE
 
+class Reached(NamedTuple):
+    """How an entry was reached; the least is the nearest."""
 
-@lru_cache(4)
-def _trie(entries: tuple[tuple[int, str], ...]) -> Trie:
-    return Trie(entries)
+    edits: int
+    kind: int
+    left: int  # signs of the words typed around the entry's
 
 
-@lru_cache(400_000)
-def _meant(entries: tuple[tuple[int, str], ...], text: str) -> int:
-    return _trie(entries).meant(text)
+class Entries:
+    """A reference list, or a piece of it, as tries; ``entries`` are (number, name)."""
 
+    def __init__(self, entries: Sequence[tuple[int, str]]) -> None:
+        self.words = [folded(name) for _, name in entries]
+        self.numbers = [n for n, _ in entries]
+        self.names = Trie((i, " ".join(w)) for i, w in enumerate(self.words) if w)
+        self.most_words = max(map(len, self.words), default=0)
+        distinct = sorted({w for words in self.words for w in words})
+        place = {w: k for k, w in enumerate(distinct)}
+        self.holders: list[list[tuple[int, int]]] = [[] for _ in distinct]
+        for i, words in enumerate(self.words):
+            for spot, w in enumerate(words):
+                self.holders[place[w]].append((i, spot))
+        self.vocabulary = Trie(enumerate(distinct), CUT)
+        self.known: dict[str, list[tuple[int, int, bool]]] = {}
+
+    def _word(self, word: str) -> list[tuple[int, int, bool]]:
+        """(entry word, edits, cut short) of what a typed word may mean."""
+        out = self.known.get(word)
+        if out is None:
+            out = [(w, edits, False) for w, edits in self.vocabulary.near(word, word_limit(len(word))).items()]
+            out += [(w, 0, True) for w in self.vocabulary.begun(word)]
+            if len(self.known) < 200_000:
+                self.known[word] = out
+        return out
+
+    def _by_words(self, typed: list[str], found: dict[int, Reached]) -> None:
+        """Entries whose words were typed, in any order."""
+        met: dict[int, list[tuple[int, bool, int, int]]] = {}
+        for t, word in enumerate(typed):
+            for w, edits, cut in self._word(word):
+                for i, spot in self.holders[w]:
+                    met.setdefault(i, []).append((edits, cut, spot, t))
+        for i, ways in met.items():
+            ways.sort()
+            whole = [way for way in ways if not way[1]]
+            for some in (whole, ways) if len(whole) < len(ways) else (ways,):
+                how = self._assigned(self.words[i], some, typed)
+                if how and (self.numbers[i] not in found or how < found[self.numbers[i]]):
+                    found[self.numbers[i]] = how
 
-def mapped_values(rows: DataFrame, id: str, value: str, reference: DataFrame, number: str, name: str, most_entries: int = 10_000) -> DataFrame:
-    """``(id, number)`` of each row whose value isn't null and isn't exactly a name of the list.
+    @staticmethod
+    def _assigned(words: list[str], ways: list[tuple[int, bool, int, int]], typed: list[str]) -> Reached | None:
+        """Typed words take the entry's words, the least edits first; what remains decides the kind."""
+        spots: set[int] = set()
+        used: set[int] = set()
+        edits = signs = 0
+        short = False
+        for cost, cut, spot, t in ways:
+            if spot not in spots and t not in used:
+                spots.add(spot)
+                used.add(t)
+                edits, short, signs = edits + cost, short or cut, signs + len(typed[t])
+        around = [w for t, w in enumerate(typed) if t not in used]
+        if len(spots) == len(words):
+            kind = SHORT if short else HELD if around else WHOLE
+            left = sum(map(len, around))
+        elif len(used) >= 2 and signs >= LEAST_SOME and not short and all(w.isdigit() for w in around):
+            kind, left = SOME, 0  # a tie, whatever is missing
+        else:
+            return None
+        return Reached(edits, kind, left) if edits <= limit(signs + len(used) - 1, kind) else None
+
+    def _by_name(self, typed: list[str], found: dict[int, Reached]) -> None:
+        """Entries whose name stands in the value, blanks being signs as others are."""
+        n = len(typed)
+        alike = [bool(self._word(w)) for w in typed]
+        for a in range(n):
+            # an edit may set one blank, so a name takes a few words more than its own
+            for b in range(a + 1, min(n, a + self.most_words + limit(99, WHOLE)) + 1):
+                if b - a < n and not any(alike[a:b]):
+                    continue
+                text = " ".join(typed[a:b])
+                left = sum(map(len, typed[:a])) + sum(map(len, typed[b:]))
+                kind = HELD if left else WHOLE
+                for i, edits in self.names.near(text, limit(len(text), kind)).items():
+                    how = Reached(edits, kind, left)
+                    if self.numbers[i] not in found or how < found[self.numbers[i]]:
+                        found[self.numbers[i]] = how
+
+    def within(self, text: str | None, all: bool = True) -> dict[int, Reached]:
+        """Entry's number -> how it was reached, of every entry within the limits.
+
+        Without ``all`` names are searched only where words reach no entry
+        whole: blanks set amiss, or short words with several edits.
+        """
+        typed = folded(text or "")
+        found: dict[int, Reached] = {}
+        self._by_words(typed, found)
+        if all or not any(how.kind in (WHOLE, HELD) for how in found.values()):
+            self._by_name(typed, found)
+        return found
 
-    ``number`` is -1 where the value names no entry.  Repeated rows count once.
-    The reference list is held by every worker, so it must not exceed
-    ``most_entries`` (a ValueError says so); entries with a null name are left
-    out, a name that stands twice names its least number.  An empty list maps
-    everything to -1; empty rows give none.
-    """
+    def nearest(self, text: str | None) -> tuple[Reached, int, bool] | None:
+        """(how, number, whether it is the only one) of the nearest entry; None if none is reached."""
+        found = self.within(text, all=False)
+        if not found:
+            return None
+        least = min(found.values())
+        numbers = [n for n, how in found.items() if how == least]
+        return least, min(numbers), len(numbers) == 1
+
+
+@lru_cache(4)
+def _entries(entries: tuple[tuple[int, str], ...]) -> Entries:
+    return Entries(entries)
+
+
+def _pieces(reference: DataFrame, number: str, name: str, piece: int) -> list[tuple[tuple[int, str], ...]]:
+    """The list's (number, name) in pieces; a name that stands twice has its least number, null names are left out."""
     names = reference.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(F.col(number).cast("int")).alias("number"))
-    held = names.limit(most_entries + 1).collect()
-    if len(held) > most_entries:
-        raise ValueError(f"the reference list has more than {most_entries} names")
-    entries = tuple(sorted((r["number"], r["name"]) for r in held))
-    exact = [n for _, n in entries]
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = batch.column(1).dictionary_encode()
-        texts = plain_many(values.dictionary.to_pylist())
-        numbers = pa.array([_meant(entries, t) for t in texts], pa.int32())
-        return pa.RecordBatch.from_arrays([batch.column(0), numbers.take(values.indices)], ["id", "number"])
-
-    typed = rows.select(F.col(id).cast("long").alias("id"), F.col(value).alias("value")).filter(F.col("value").isNotNull())
-    if exact:
-        typed = typed.filter(~F.col("value").isin(exact))
-    # little data and much work: as many tasks as there are cores for, however few megabytes
+    held = names.orderBy("number", "name").toArrow()
+    pairs = list(zip(held["number"].to_pylist(), held["name"].to_pylist()))
+    return [tuple(pairs[at : at + piece]) for at in range(0, len(pairs), piece)]
+
+
+def _typed(rows: DataFrame, value: str) -> DataFrame:
+    """Each value once, over as many tasks as there are cores for: it is little data and much work."""
     spark = rows.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    typed = typed.repartition(tasks, "id", "value").dropDuplicates()
-    done = typed.mapInArrow(mapped("value", work), "id long, number int").dropDuplicates()
-    return done.select(F.col("id").alias(id), F.col("number").alias(number))
+    return rows.filter(F.col(value).isNotNull()).select(F.col(value).alias("value")).distinct().repartition(tasks)
+
+
+def near_values(rows: DataFrame, value: str, reference: DataFrame, number: str, name: str, piece: int = PIECE) -> DataFrame:
+    """``(value, number, edits, kind)``: every entry within the limits of each distinct value; values that reach none give no row.
+
+    Null values and null names take no part; an empty list or table gives none.
+    """
+    typed, out = _typed(rows, value), None
+    for entries in _pieces(reference, number, name, piece) or [()]:
+
+        def work(batch: pa.RecordBatch, entries=entries) -> pa.RecordBatch:
+            held, rows = _entries(entries), []
+            for text, plain in zip(batch.column(0).to_pylist(), plain_many(batch.column(0).to_pylist())):
+                rows += [(text, n, how.edits, KINDS[how.kind]) for n, how in held.within(plain).items()]
+            columns = list(zip(*rows)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string()))], ["value", "number", "edits", "kind"])
+
+        part = typed.mapInArrow(mapped("value", work), "value string, number int, edits int, kind string")
+        out = part if out is None else out.union(part)
+    return out.select(F.col("value").alias(value), F.col("number").alias(number), "edits", "kind")
+
+
+def mapped_values(rows: DataFrame, id: str, value: str, reference: DataFrame, number: str, name: str, piece: int = PIECE) -> DataFrame:
+    """``(id, number)`` of each row whose value isn't null and isn't exactly a name of the list.
+
+    ``number`` is -1 where the value reaches no entry, or several as near.
+    Repeated rows count once.  Each distinct value is searched once, wherever it
+    stands, and joined back; a value that very many rows hold is one row of the
+    search, and the join's hot keys are split at run time.  A list of more than
+    ``piece`` names is searched in pieces, whose nearest entries are compared.
+    Entries with a null name are left out, a name that stands twice names its
+    least number.  An empty list maps everything to -1; empty rows give none.
+    """
+    pieces = _pieces(reference, number, name, piece)
+    exact = reference.filter(F.col(name).isNotNull()).select(F.col(name).alias("value")).distinct()
+    typed = rows.select(F.col(id).cast("long").alias("id"), F.col(value).alias("value")).filter(F.col("value").isNotNull()).join(exact, "value", "left_anti")
+    values, found = _typed(typed, "value"), None
+    for entries in pieces or [()]:
+
+        def work(batch: pa.RecordBatch, entries=entries) -> pa.RecordBatch:
+            held = _entries(entries)
+            near = [held.nearest(plain) for plain in plain_many(batch.column(0).to_pylist())]
+            parts = [[r and r[0][k] for r in near] for k in range(3)] + [[r and r[1] for r in near], [r and r[2] for r in near]]
+            types = [pa.int32()] * 4 + [pa.bool_()]
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p, t) for p, t in zip(parts, types))], ["value", "edits", "kind", "left", "number", "only"])
+
+        part = values.mapInArrow(mapped("value", work), "value string, edits int, kind int, left int, number int, only boolean")
+        found = part if found is None else found.union(part)
+    if len(pieces) > 1:
+        # the nearest of the pieces' nearest; as many rows a value as there are pieces
+        best = F.array_sort(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("edits", "kind", "left", "number", "only"))))
+        top = found.groupBy("value").agg(best.alias("b"))
+        rank = lambda k: F.struct(*(F.get("b", F.lit(k))[c] for c in ("edits", "kind", "left")))
+        alone = F.get("b", F.lit(0))["only"] & ((F.size("b") < 2) | ~rank(0).eqNullSafe(rank(1)))
+        found = top.select("value", F.get("b", F.lit(0))["number"].alias("number"), alone.alias("only"))
+    meant = found.select("value", F.when(F.col("only"), F.col("number")).otherwise(F.lit(NONE)).alias("number"))
+    done = typed.join(written(meant, "meant"), "value")
+    return done.select(F.col("id").alias(id), F.col("number").alias(number)).distinct()

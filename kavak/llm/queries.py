@@ -43,6 +43,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.mapped_values(typed, "log_id", "topic", table(spark, folder, "tyt_tarih"), "topic_no", "topic")
 
 
+def p5_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Every topic of the list within the limits of each typed topic, with its edits."""
+    typed = table(spark, folder, "study_log").filter(F.col("subject") == "Tarih")
+    return canonical.near_values(typed, "topic", table(spark, folder, "tyt_tarih").withColumnRenamed("topic", "name"), "topic_no", "name")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of every document."""
     return encode.encode(table(spark, folder, "documents"), "doc_id", "text")
@@ -73,4 +79,4 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
     return languages.segments(table(spark, folder, "documents"), "doc_id", "text", _model(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p3_groups, p5_found, p6_ids, p7_found, p8_found, p8_languages, p8_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p3_groups, p5_found, p5_near, p6_ids, p7_found, p8_found, p8_languages, p8_segments)}
