@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kavak.functions import scalars as S
 from kavak.functions import text as X
 from kavak.operators import coverage, gates, matching, ranking, scoring
-from kavak.sources.tables import table
+from kavak.sources.tables import spread, table
 
 # Words that tell a subject, in the order in which subjects are tried.
 KEYWORDS = (
@@ -26,7 +26,7 @@ def outcomes(spark: SparkSession, folder: str) -> DataFrame:
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Source pages: the evidence records' texts."""
     rows = table(spark, folder, "evidence_records")
-    return rows.select("record_no", F.col("source.package_id").alias("package_id"), "evidence_text", F.col("source").alias("source"))
+    return spread(rows.select("record_no", F.col("source.package_id").alias("package_id"), "evidence_text", "source"))
 
 
 def _affine() -> Column:

@@ -1,8 +1,9 @@
 """Tables written between stages, so that a lost executor costs one stage and no more.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``; all
-executors share it.  Only where the setting is absent (tests, local runs) a
-folder of our own is made.
+executors share it.  Where the setting is absent a local session (one process,
+as in tests) gets a folder of its own; a cluster is an error, since no folder
+of one machine is seen by all.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _ours:
         _ours.append(tempfile.mkdtemp(prefix="kavak-"))
         atexit.register(shutil.rmtree, _ours[0], ignore_errors=True)

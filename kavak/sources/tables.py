@@ -4,21 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A table of fewer pieces than there are cores is spread over them if its bytes lie between these.
-SPREAD_FROM, SPREAD_TO = 256_000, 256_000_000
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of ``folder``, a file or a directory of files.
+    """The Parquet table ``name`` of ``folder``, a file or a directory of files, as it lies."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows read from a table, dealt out to all cores if they lie in fewer pieces than there are cores.
 
-    A small table in one piece (one file of one row group can't be split) would
-    be worked on by one core; it is dealt out to all.  Tables of many files,
-    and large ones, stay as they are read.
+    For work that takes longer than moving the few columns it needs; to be
+    called on a scan after its projection.  Tables of many pieces stay as they
+    lie, so nothing is moved on a cluster.
     """
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    plan = rows._jdf.queryExecution().optimizedPlan()
-    size = int(str(plan.stats().sizeInBytes()))
-    cores = spark.sparkContext.defaultParallelism
-    if SPREAD_FROM <= size <= SPREAD_TO and len(rows.inputFiles()) == 1 and cores > 1:
-        return rows.repartition(cores)
-    return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
