@@ -8,32 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kavak.llm import canonical, encode, languages, leaks, neardup, unlike
-from kavak.sources.tables import table
+from kavak.sources.tables import spread, table
 
 FIELDS = ["evidence_text", "outcome_title"]
 #: Records are alike from this share of common runs of three words on.
 LIKENESS = 0.45
 
 
+def _records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return spread(table(spark, folder, "evidence_records").select("record_no", *columns))
+
+
+def _documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text", *columns))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values that aren't in plain form."""
-    return unlike.not_plain(table(spark, folder, "evidence_records"), "record_no", FIELDS)
+    return unlike.not_plain(_records(spark, folder, *FIELDS), "record_no", FIELDS)
 
 
 def p2_plain(spark: SparkSession, folder: str) -> DataFrame:
     """The plain form of every value."""
-    return unlike.plain_forms(table(spark, folder, "evidence_records"), "record_no", FIELDS)
+    return unlike.plain_forms(_records(spark, folder, *FIELDS), "record_no", FIELDS)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """All pairs of alike records."""
-    pairs, members = neardup.alike(table(spark, folder, "evidence_records"), "record_no", "evidence_text", LIKENESS)
+    pairs, members = neardup.alike(_records(spark, folder, "evidence_text"), "record_no", "evidence_text", LIKENESS)
     return neardup.all_pairs(pairs, members).select(F.col("a").alias("record_no_a"), F.col("b").alias("record_no_b"))
 
 
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each record that takes part: its class, the class's records and the alike classes."""
-    pairs, members = neardup.alike(table(spark, folder, "evidence_records"), "record_no", "evidence_text", LIKENESS)
+    pairs, members = neardup.alike(_records(spark, folder, "evidence_text"), "record_no", "evidence_text", LIKENESS)
     return neardup.links(pairs, members).withColumnRenamed("id", "record_no")
 
 
@@ -51,12 +59,12 @@ def p5_near(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of every document."""
-    return encode.encode(table(spark, folder, "documents"), "doc_id", "text")
+    return encode.encode(_documents(spark, folder), "doc_id", "text")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold passages of evaluation items."""
-    return leaks.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+    return leaks.leaks(_documents(spark, folder), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
 
 def _model(spark: SparkSession, folder: str) -> bytes:
@@ -65,18 +73,18 @@ def _model(spark: SparkSession, folder: str) -> bytes:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The languages of documents whose label is missing or wrong or whose text mixes languages."""
-    return languages.mislabelled(table(spark, folder, "documents"), "doc_id", "text", "lang", _model(spark, folder))
+    return languages.mislabelled(_documents(spark, folder, "lang"), "doc_id", "text", "lang", _model(spark, folder))
 
 
 def p8_languages(spark: SparkSession, folder: str) -> DataFrame:
     """The languages of every document, with sentences and confidence."""
-    found = languages.languages(table(spark, folder, "documents"), "doc_id", "text", _model(spark, folder))
+    found = languages.languages(_documents(spark, folder), "doc_id", "text", _model(spark, folder))
     return found.select("doc_id", F.explode_outer("languages").alias("x")).select("doc_id", "x.lang", "x.sentences", "x.confidence")
 
 
 def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
     """The stretches of one language in every document."""
-    return languages.segments(table(spark, folder, "documents"), "doc_id", "text", _model(spark, folder))
+    return languages.segments(_documents(spark, folder), "doc_id", "text", _model(spark, folder))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p3_groups, p5_found, p5_near, p6_ids, p7_found, p8_found, p8_languages, p8_segments)}
