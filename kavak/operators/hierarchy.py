@@ -26,7 +26,7 @@ from kavak.plans.lineage import written
 
 #: Nodes of a group up to which one task holds it.
 WHOLE = 50_000
-#: Ancestor pairs written at once.
+#: Ancestor pairs, or names on paths, written at once.
 AT_ONCE = 1_000_000
 
 
@@ -108,52 +108,59 @@ class Forest:
                     yield np.full(len(held), loop[(i + step) % k]), held, self.depth[held] + step
 
 
-def _rows(batch: pa.Table) -> tuple[list, np.ndarray]:
-    names = batch["node"].to_pylist()
+def _group(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Scalar, list[str], Forest]:
+    """(the group, its names in order, its forest)."""
+    whole = pa.Table.from_batches(list(batches)).sort_by("node")
+    names = whole["node"].to_pylist()
     place = {x: i for i, x in enumerate(names)}
-    parent = np.fromiter((place.get(p, -1) if p is not None else -1 for p in batch["parent"].to_pylist()), np.int64, len(names))
-    return names, parent
-
-
-def _pairs_of(batch: pa.Table) -> pa.Table:
-    names, parent = _rows(batch)
-    forest, group = Forest(parent), batch["group"][0]
-    names = pa.array(names, pa.string())
-    parts = [
-        pa.table({"group": pa.array([group.as_py()] * len(a), group.type), "ancestor": names.take(pa.array(a)), "node": names.take(pa.array(b)), "steps": pa.array(s.astype(np.int32))})
-        for a, b, s in forest.ancestors()
-    ]
-    empty = pa.table({"group": pa.array([], group.type), "ancestor": pa.array([], pa.string()), "node": pa.array([], pa.string()), "steps": pa.array([], pa.int32())})
-    return pa.concat_tables([empty, *parts])
-
-
-def _nodes_of(batch: pa.Table) -> pa.Table:
-    batch = batch.sort_by("node")
-    names, parent = _rows(batch)
-    forest = Forest(parent)
-    path: list[list[str]] = [[]] * len(names)
-    for i in forest.order.tolist():
-        above = int(parent[i])
-        path[i] = [names[i]] if above < 0 or forest.looped[i] else [*path[above], names[i]]
-    looped = forest.looped
+    parent = np.fromiter((place.get(p, -1) if p is not None else -1 for p in whole["parent"].to_pylist()), np.int64, len(names))
+    return whole["group"][0], names, Forest(parent)
+
+
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    group, names, forest = _group(batches)
+    held = pa.array(names, pa.string())
+    for above, below, steps in forest.ancestors():
+        for at in range(0, len(above), AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            a, b = pa.array(above[part]), pa.array(below[part])
+            yield pa.RecordBatch.from_arrays([pa.repeat(group, len(a)), held.take(a), held.take(b), pa.array(steps[part].astype(np.int32))], ["group", "ancestor", "node", "steps"])
+
+
+def _nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    group, names, forest = _group(batches)
+    n, held = len(names), pa.array(names, pa.string())
     below = forest.size - 1
     for loop in forest.loops():
         below[loop] = forest.size[loop].sum()
-    n = len(names)
-    return pa.table(
-        {
-            "group": batch["group"],
-            "node": pa.array(names, pa.string()),
-            "path": pa.array(path, pa.list_(pa.string())),
-            "depth": pa.array(forest.depth.astype(np.int32)),
-            "root": pa.array([names[r] for r in forest.root], pa.string()),
-            "first": pa.array(forest.number),
-            "last": pa.array(forest.number + forest.size - 1),
-            "descendants": pa.array(below),
-            "looped": pa.array(looped),
-            "below_loop": pa.array(looped[forest.root] & ~looped if n else np.zeros(0, bool)),
-        }
-    )
+    above = np.where(forest.looped, -1, forest.parent)
+    signs = np.cumsum(forest.depth + 1)
+    at = 0
+    while at < n:
+        # a path is as long as its node is deep; so many of their names at once
+        to = max(at + 1, int(np.searchsorted(signs, (signs[at - 1] if at else 0) + AT_ONCE, "right")))
+        part = np.arange(at, to)
+        ends = np.cumsum(forest.depth[part] + 1)
+        path = np.zeros(int(ends[-1]), np.int64)
+        spot, node, todo = ends - 1, part, np.arange(len(part))
+        while len(todo):
+            path[spot[todo]] = node
+            spot = spot - 1
+            node = above[node]
+            up = node >= 0
+            node, todo = node[up], todo[up]
+        paths = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), held.take(pa.array(path)))
+        root, looped, number = forest.root[part], forest.looped[part], forest.number[part]
+        columns = [pa.repeat(group, len(part)), held.take(pa.array(part)), paths, pa.array(forest.depth[part].astype(np.int32)), held.take(pa.array(root)), pa.array(number)]
+        columns += [pa.array(number + forest.size[part] - 1), pa.array(below[part]), pa.array(looped), pa.array(forest.looped[root] & ~looped)]
+        yield pa.RecordBatch.from_arrays(columns, ["group", "node", "path", "depth", "root", "first", "last", "descendants", "looped", "below_loop"])
+        at = to
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Whole groups over as many tasks as there are cores for: they are little data and much work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), "group")
 
 
 def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -182,7 +189,7 @@ def ancestors(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> DataFra
     kind = rows.schema["group"].dataType.simpleString()
     small = (F.col("n") <= whole) & (F.col("parents") <= 1)
     forests = rows.filter(small).select("group", "node", "parent")
-    near = forests.groupBy("group").applyInArrow(_pairs_of, f"group {kind}, ancestor string, node string, steps int")
+    near = _dealt(forests).groupBy("group").applyInArrow(_pairs_of, f"group {kind}, ancestor string, node string, steps int")
     rest = rows.filter(~small & F.col("parent").isNotNull())
     if rest.isEmpty():
         return near
@@ -218,7 +225,7 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> DataFra
     kind = rows.schema["group"].dataType.simpleString()
     small = (F.col("n") <= whole) & (F.col("parents") <= 1)
     schema = f"group {kind}, node string, path array<string>, depth int, root string, first long, last long, descendants long, looped boolean, below_loop boolean"
-    near = rows.filter(small).select("group", "node", "parent").groupBy("group").applyInArrow(_nodes_of, schema)
+    near = _dealt(rows.filter(small).select("group", "node", "parent")).groupBy("group").applyInArrow(_nodes_of, schema)
     rest = rows.filter(~small)
     if rest.isEmpty():
         return near

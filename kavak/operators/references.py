@@ -1,22 +1,21 @@
 """References to records that are absent, deleted or written later.
 
 A reference is a tuple of key columns, some of which may be null.  References
-are grouped by their null mask, and each mask is joined on its non-null columns
-only, under the declared match semantics (as in SQL's MATCH):
+are grouped by their null mask, and each mask that occurs is anti-joined on its
+non-null columns only, under the declared match semantics (as in SQL's MATCH):
 
 * ``simple``: a reference with any null refers to nothing and is left out;
 * ``partial``: the non-null columns must be found together in one record;
 * ``full``: a reference has all its columns or none; mixed ones are ``mixed``.
 
-Records are reduced to one row for each key before the join (a partial
-aggregate runs before the shuffle), so a key that very many records or
-references share costs no more than its references.
+What the anti-join leaves is missing; what it finds is judged by the records
+found.  Records are reduced to one row for each key before the join (a partial
+aggregate runs before the shuffle), so a key that very many records share costs
+one row, and one that very many references share is split at run time.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,25 +40,27 @@ def judged(references: DataFrame, keys: list[str], at: str, records: DataFrame,
     if match not in MATCHES:
         raise ValueError(f"match is one of {', '.join(MATCHES)}")
     columns = references.columns
-    out = None
-    for mask in product((True, False), repeat=len(keys)):
-        if not any(mask) or (match == "simple" and not all(mask)):
+    bits = F.concat(*(F.when(_present(F.col(k)), "1").otherwise("0") for k in keys))
+    full = "1" * len(keys)
+    # one key has one mask; of several, those that occur (as many rows as there are masks at most)
+    masks = [full] if len(keys) == 1 else sorted(r[0] for r in references.select(bits).distinct().collect())
+    out = references.limit(0).withColumn("kind", F.lit(FOUND))
+    for mask in masks:
+        if "1" not in mask or (match == "simple" and mask != full):
+            continue
+        part = references.filter(bits == mask)
+        if match == "full" and mask != full:
+            out = out.unionByName(part.withColumn("kind", F.lit(MIXED)))
             continue
-        part = references
-        for k, there in zip(keys, mask):
-            part = part.filter(_present(F.col(k)) if there else ~F.coalesce(_present(F.col(k)), F.lit(False)))
-        if match == "full" and not all(mask):
-            part = part.withColumn("kind", F.lit(MIXED))
-        else:
-            used = [(k, r) for k, r, there in zip(keys, record_keys, mask) if there]
-            held = records.filter(F.expr(" and ".join(f"`{r}` is not null and `{r}` <> ''" for _, r in used)))
-            held = held.groupBy(*(F.col(r).alias(f"_key{i}") for i, (_, r) in enumerate(used))).agg(
-                F.lit(True).alias("_held"), F.max(F.col(deleted).isNull()).alias("_alive"), F.min(F.when(F.col(deleted).isNull(), F.col(created))).alias("_first")
-            )
-            same = [F.col(k) == F.col(f"_key{i}") for i, (k, _) in enumerate(used)]
-            kind = F.when(F.col("_held").isNull(), MISSING).when(~F.col("_alive"), DELETED).when(F.col("_first") > F.col(at), LATE).otherwise(FOUND)
-            part = part.join(held, same, "left").withColumn("kind", kind).select(*columns, "kind")
-        out = part if out is None else out.unionByName(part)
+        used = [(k, r) for k, r, there in zip(keys, record_keys, mask) if there == "1"]
+        held = records.filter(F.expr(" and ".join(f"`{r}` is not null and `{r}` <> ''" for _, r in used)))
+        held = held.groupBy(*(F.col(r).alias(f"_key{i}") for i, (_, r) in enumerate(used))).agg(
+            F.max(F.col(deleted).isNull()).alias("_alive"), F.min(F.when(F.col(deleted).isNull(), F.col(created))).alias("_first")
+        )
+        same = [F.col(k) == F.col(f"_key{i}") for i, (k, _) in enumerate(used)]
+        missing = part.join(held, same, "left_anti").withColumn("kind", F.lit(MISSING))
+        kind = F.when(~F.col("_alive"), DELETED).when(F.col("_first") > F.col(at), LATE).otherwise(FOUND)
+        out = out.unionByName(missing).unionByName(part.join(held, same).withColumn("kind", kind).select(*columns, "kind"))
     return out
 
 

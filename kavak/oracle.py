@@ -61,6 +61,45 @@ _P4 = " UNION ALL ".join(
 )
 
 
+_P1_PLACES = """, pairs AS (SELECT plan_id, ancestor, topic, min(steps) AS steps FROM up GROUP BY ALL),
+looped AS (SELECT plan_id, topic FROM pairs WHERE ancestor = topic),
+stops AS (SELECT p.plan_id, p.topic, min(p.steps) AS stop FROM pairs p JOIN looped l ON l.plan_id = p.plan_id AND l.topic = p.ancestor GROUP BY ALL),
+ways AS (
+  SELECT p.* FROM pairs p LEFT JOIN stops s ON s.plan_id = p.plan_id AND s.topic = p.topic
+  WHERE (s.stop IS NULL OR p.steps <= s.stop) AND NOT EXISTS (SELECT 1 FROM looped l WHERE l.plan_id = p.plan_id AND l.topic = p.topic)
+), sizes AS (SELECT plan_id, ancestor AS topic, count(*) AS below FROM ways GROUP BY ALL),
+sized AS (
+  SELECT t.plan_id, t.topic, coalesce(s.below, 0) + 1 AS size, w.ancestor AS parent FROM topics t
+  LEFT JOIN sizes s ON s.plan_id = t.plan_id AND s.topic = t.topic LEFT JOIN ways w ON w.plan_id = t.plan_id AND w.topic = t.topic AND w.steps = 1
+), places AS (
+  SELECT *, sum(size) OVER (PARTITION BY plan_id, parent ORDER BY topic ROWS UNBOUNDED PRECEDING) - size + CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS step FROM sized
+), above AS (
+  SELECT w.plan_id, w.topic, sum(p.step) AS steps, max(w.steps) AS depth, string_agg(w.ancestor, ' > ' ORDER BY w.steps DESC) AS path, arg_max(w.ancestor, w.steps) AS root
+  FROM ways w JOIN places p ON p.plan_id = w.plan_id AND p.topic = w.ancestor GROUP BY ALL
+), downs AS (SELECT plan_id, ancestor AS topic, count(*) AS n FROM pairs GROUP BY ALL)
+SELECT p.plan_id, p.topic, coalesce(a.path || ' > ', '') || p.topic AS path, CAST(coalesce(a.depth, 0) AS INTEGER) AS depth, coalesce(a.root, p.topic) AS root,
+  CAST(p.step + coalesce(a.steps, 0) AS BIGINT) AS first, CAST(p.step + coalesce(a.steps, 0) + p.size - 1 AS BIGINT) AS last, CAST(coalesce(d.n, 0) AS BIGINT) AS descendants,
+  l.topic IS NOT NULL AS looped, l.topic IS NULL AND s.stop IS NOT NULL AS below_loop
+FROM places p LEFT JOIN above a ON a.plan_id = p.plan_id AND a.topic = p.topic LEFT JOIN downs d ON d.plan_id = p.plan_id AND d.topic = p.topic
+LEFT JOIN looped l ON l.plan_id = p.plan_id AND l.topic = p.topic LEFT JOIN stops s ON s.plan_id = p.plan_id AND s.topic = p.topic
+"""
+
+
+def _composite(match: str) -> str:
+    """Solutions whose (id, question) is no (solution, id) of the questions; the keys that are there decide."""
+    held = "SELECT {k} AS r, count(*) FILTER (WHERE deleted_at IS NULL) AS alive, min(created_at) FILTER (WHERE deleted_at IS NULL) AS first FROM questions GROUP BY 1"
+    k1, k2, both = _key("solution_id"), _key("id"), f"nullif({_key('solution_id')}, '') || '|' || nullif({_key('id')}, '')"
+    kind = "CASE WHEN {t}.r IS NULL THEN 'missing' WHEN {t}.alive = 0 THEN 'deleted' WHEN {t}.first > s.created_at THEN 'late' END"
+    some = {"simple": "NULL", "partial": f"CASE WHEN k1 <> '' THEN {kind.format(t='a')} WHEN k2 <> '' THEN {kind.format(t='b')} END", "full": "CASE WHEN k1 <> '' OR k2 <> '' THEN 'mixed' END"}[match]
+    return f"""
+SELECT DISTINCT '{match}' AS "match", id AS src_id, null_mask, kind, strftime(created_at, '%Y-%m') AS period FROM (
+  SELECT s.*, CASE WHEN k1 <> '' THEN '1' ELSE '0' END || CASE WHEN k2 <> '' THEN '1' ELSE '0' END AS null_mask,
+    CASE WHEN k1 <> '' AND k2 <> '' THEN {kind.format(t="c")} ELSE {some} END AS kind
+  FROM (SELECT id, created_at, coalesce({_key("id")}, '') AS k1, coalesce({_key("question_id")}, '') AS k2 FROM solutions WHERE deleted_at IS NULL) s
+  LEFT JOIN ({held.format(k=k1)}) a ON a.r = s.k1 LEFT JOIN ({held.format(k=k2)}) b ON b.r = s.k2 LEFT JOIN ({held.format(k=both)}) c ON c.r = s.k1 || '|' || s.k2
+) WHERE kind IS NOT NULL"""
+
+
 # Full-width signs and what they look like.
 _WIDE = "".join(chr(0xFEE0 + o) for o in range(0x21, 0x7F))
 _NARROW = "".join(chr(o) for o in range(0x21, 0x7F)).replace("'", "''")
@@ -186,7 +225,9 @@ _KEYWORDS = ", ".join(f"({i}, '{s}', '{k}')" for i, (s, k) in enumerate(KEYWORDS
 
 ORACLE: dict[str, str] = {
     "p1_found": _P1_EDGES + "SELECT plan_id, ancestor, topic, CAST(min(steps) AS INTEGER) AS steps FROM up GROUP BY ALL",
+    "p1_places": _P1_EDGES + _P1_PLACES,
     "p4_found": _P4,
+    "p4_composite": " UNION ALL ".join(_composite(m) for m in ("simple", "partial", "full")),
     "p4_report": f"SELECT src_table, period, kind, count(*) AS n_references FROM ({_P4}) GROUP BY ALL",
     "document_frequency": _CROSSWALK + "SELECT token, df FROM df",
     "crosswalk_topk": _CROSSWALK + "SELECT outcome_id, record_no, package_id, score, title_hits, bigram_hits, affine, r AS rank FROM best",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kavak.functions.keys import plain_key
 from kavak.operators.hierarchy import ancestors, hierarchy, named_edges
-from kavak.operators.references import judged, orphans
+from kavak.operators.references import FOUND, MATCHES, judged, orphans
 from kavak.sources.tables import table
 
 
@@ -58,13 +58,18 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_composite(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions and solutions must point at each other: (solution, question) of each solution among the questions.
+    """Solutions whose pair (own id, question) isn't a pair (solution, id) of the questions, under each match semantics.
 
-    A composite reference with partial nulls (a solution may lack its question).
+    A composite reference with partial nulls (a solution may lack its question);
+    ``null_mask`` has a 1 for each key that is there.
     """
     questions, solutions = table(spark, folder, "questions"), table(spark, folder, "solutions")
     refs = solutions.filter(F.col("deleted_at").isNull()).select("id", plain_key(F.col("id")).alias("k1"), plain_key(F.col("question_id")).alias("k2"), "created_at")
     held = questions.select(plain_key(F.col("solution_id")).alias("r1"), plain_key(F.col("id")).alias("r2"), "created_at", "deleted_at")
-    rows = judged(refs, ["k1", "k2"], "created_at", held, ["r1", "r2"], "created_at", "deleted_at", "partial")
-    mask = F.concat(F.when(F.col("k1") != "", "1").otherwise("0"), F.when(F.col("k2") != "", "1").otherwise("0"))
-    return rows.groupBy(mask.alias("null_mask"), "kind").agg(F.countDistinct("id").alias("n_solutions"))
+    out = None
+    for match in MATCHES:
+        rows = judged(refs, ["k1", "k2"], "created_at", held, ["r1", "r2"], "created_at", "deleted_at", match).filter(F.col("kind") != FOUND)
+        mask = F.concat(F.when(F.col("k1") != "", "1").otherwise("0"), F.when(F.col("k2") != "", "1").otherwise("0"))
+        part = rows.select(F.lit(match).alias("match"), F.col("id").alias("src_id"), mask.alias("null_mask"), "kind", F.date_format("created_at", "yyyy-MM").alias("period")).distinct()
+        out = part if out is None else out.union(part)
+    return out
