@@ -179,3 +179,12 @@ def compatible(text: Column) -> Column:
         return texts.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else None)
 
     return F.when(text.rlike("[^\\x00-\\x{024F}]"), pandas_udf(work, T.StringType())(text)).otherwise(text)
+
+
+def composed(text: Column) -> Column:
+    """Letters and their marks composed (NFC); texts without combining marks stay in the query engine."""
+
+    def work(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t) if isinstance(t, str) else None)
+
+    return F.when(text.rlike("[\\x{0300}-\\x{036F}]"), pandas_udf(work, T.StringType())(text)).otherwise(text)
