@@ -23,6 +23,7 @@ from pyspark.sql.functions import pandas_udf
 
 # Elements whose text isn't seen, and those whose text is a heading.
 UNSEEN = ("script", "style", "noscript", "template")
+UNREAD = ("script", "style", "noscript")
 HEADINGS = ("h1", "h2", "h3", "h4")
 _CODE = re.compile(r"<pre[^>]*>\s*<code[^>]*>(.*?)</code>\s*</pre>", re.S | re.I)
 _TAG = re.compile(r"<[^>]+>")
@@ -60,6 +61,33 @@ class _Seen(HTMLParser):
         self.body.append(text)
 
 
+class _Plain(HTMLParser):
+    """Collects all text outside scripts and styles as it stands, the title's too."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.parts = 0, []
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        self.hidden += tag in UNREAD
+
+    def handle_endtag(self, tag: str) -> None:
+        self.hidden -= tag in UNREAD and self.hidden > 0
+
+    def handle_data(self, data: str) -> None:
+        text = html.unescape(data).strip()
+        if text and not self.hidden:
+            self.parts.append(text)
+
+
+def plain_lines(page: str | None) -> str:
+    """The text of a page outside scripts and styles, a line for each piece, inner blanks as they are; empty for null."""
+    parser = _Plain()
+    parser.feed(page or "")
+    parser.close()
+    return "\n".join(parser.parts)
+
+
 def seen(page: str | None) -> tuple[str, str, str]:
     """(visible text, title, headings) of a page; empty for null."""
     parser = _Seen()
@@ -127,6 +155,15 @@ def visible_text(page: Column) -> Column:
     return pandas_udf(work, kind)(page)
 
 
+def page_lines(page: Column) -> Column:
+    """:func:`plain_lines` of an HTML column."""
+
+    def work(pages: pd.Series) -> pd.Series:
+        return pages.map(plain_lines)
+
+    return pandas_udf(work, T.StringType())(page)
+
+
 def page_code_text(page: Column) -> Column:
     """:func:`code_text` of an HTML column."""
 

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kavak.functions.text import let
+
 # Blocks of scripts that an answer must not contain.
 FOREIGN_SCRIPTS = "[\\x{0400}-\\x{052F}\\x{0590}-\\x{05FF}\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]"
 # Parts that an expression must not contain.
-UNSAFE_EXPRESSION = "__|import|exec|eval|open|lambda|;|\\[|\\]|\\{|\\}"
+UNSAFE_EXPRESSION = ("__", "import", "exec", "eval", "open(", "os.", "sys.", "subprocess", "lambda")
 
 
 def text_hash(c: Column) -> Column:
@@ -112,8 +114,8 @@ def without_phrase(c: Column, phrases: Sequence[str]) -> Column:
 
 
 def is_safe_expression(c: Column) -> Column:
-    """Whether an expression text holds none of the refused parts."""
-    return ~c.rlike(UNSAFE_EXPRESSION)
+    """Whether an expression text holds none of the refused parts, in whatever case."""
+    return ~let(F.lower(c), lambda t: F.exists(F.array(*map(F.lit, UNSAFE_EXPRESSION)), lambda x: F.contains(t, x)))
 
 
 def value_at(values: Column, place: Column) -> Column:

@@ -181,13 +181,15 @@ _LOG = "(SELECT log_id, min(logged_at) AS logged_at, arg_min(student_id, logged_
 _BAND = "CASE WHEN mean_score >= 80 THEN 'strong' WHEN mean_score >= 60 THEN 'medium' WHEN mean_score IS NOT NULL THEN 'weak' END"
 _SHA = "sha256(evidence_text)"
 _ERRORS = {
-    "hash": f"{_SHA} = source.text_sha256",
-    "length": "length(evidence_text) >= 120",
+    "authority": "source.authority = 'OKUL-YAYIN'",
     "source": "coalesce(source.authority, '') <> '' AND coalesce(source.package_id, '') <> '' AND coalesce(source.page, 0) <> 0 AND coalesce(source.source_anchor, '') <> '' AND coalesce(source.html_path, '') <> '' AND coalesce(source.image_path, '') <> '' AND coalesce(source.text_sha256, '') <> ''",
+    "hash": f"{_SHA} = source.text_sha256",
+    "affinity": "contains(source.package_id, CASE WHEN grade <= 10 THEN '-TYT-' ELSE '-AYT-' END)",
+    "policy": "compiler_policy = 'FAIL_CLOSED'",
+    "verified": "verification.status = 'VERIFIED'",
     "checks": "list_bool_and(list_transform(map_values(verification.checks), lambda x: coalesce(x, false)))",
-    "hidden": "student_visible = false",
-    "tokens": "hits >= 3",
-    "coverage": "hits / nullif(n, 0) >= 0.5",
+    "length": "length(trim(evidence_text)) >= 120",
+    "title": "hits >= 3 AND hits / nullif(n, 0) >= 0.5",
 }
 _GATE = f"""
 SELECT record_no, CASE WHEN failed = '' THEN 'PASS' ELSE 'MANUAL' END AS status, failed FROM (

@@ -16,6 +16,9 @@ KEYWORDS = (
     ("Kimya", "çözelti"), ("Kimya", "tepkime"), ("Matematik", "polinom"), ("Matematik", "türev"),
 )
 
+#: Whose pages count as an official source.
+AUTHORITY = "OKUL-YAYIN"
+
 
 def outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each learning outcome, its texts the least of its spellings."""
@@ -81,21 +84,22 @@ def verify_best(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def review_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """The checks that each evidence record fails: hash, length, source, strict flags, title found in the text."""
-    rows = table(spark, folder, "evidence_records")
+    """The checks that each evidence record fails: authority, source, hash, the grade's packages, policy, earlier verification, length, title found in the text."""
+    rows = table(spark, folder, "evidence_records").select("record_no", "grade", F.col("source.package_id").alias("package_id"), "evidence_text", "outcome_title", "source", "verification", "compiler_policy")
     title = X.distinct_search_tokens(F.col("outcome_title"))
-    words = F.split(X.searchable(F.col("evidence_text")), " ")
-    hits = F.size(F.array_intersect(title, words))
+    hits = F.size(F.array_intersect(title, F.split(X.searchable(F.col("evidence_text")), " ")))
     checks = {
-        "hash": S.text_hash(F.col("evidence_text")) == F.col("source.text_sha256"),
-        "length": F.length("evidence_text") >= 120,
+        "authority": F.col("source.authority") == AUTHORITY,
         "source": gates.complete("source", ["authority", "package_id", "page", "source_anchor", "html_path", "image_path", "text_sha256"]),
+        "hash": S.text_hash(F.col("evidence_text")) == F.col("source.text_sha256"),
+        "affinity": _affine(),
+        "policy": F.col("compiler_policy") == "FAIL_CLOSED",
+        "verified": F.col("verification.status") == "VERIFIED",
         "checks": F.forall(F.map_values("verification.checks"), lambda x: gates.holds(x)),
-        "hidden": F.col("student_visible") == F.lit(False),
-        "tokens": hits >= 3,
-        "coverage": hits / F.nullif(F.size(title), F.lit(0)) >= 0.5,
+        "length": F.length(F.trim("evidence_text")) >= 120,
+        "title": (hits >= 3) & (hits / F.nullif(F.size(title), F.lit(0)) >= 0.5),
     }
-    out = gates.gated(rows.select("record_no", "evidence_text", "outcome_title", "source", "verification", "student_visible"), checks)
+    out = gates.gated(rows, checks)
     return out.select("record_no", "status", F.array_join("errors", ",").alias("failed"))
 
 
@@ -350,21 +354,10 @@ def page_parts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def visible_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts wrapped as pages and read back through the HTML reader: how many come back unchanged."""
-    from kavak.functions.pages import visible_text as seen
-
-    rows = table(spark, folder, "documents").filter(F.col("text").isNotNull())
-    flat = X.squeeze(F.regexp_replace("text", "[<>&]", " "))
-    page = F.concat(F.lit("<html><head><title>t</title><script>x()</script></head><body><p>"), flat, F.lit("</p></body></html>"))
-    got = rows.select(flat.alias("flat"), seen(page).alias("s"))
-    return got.agg(F.count("*").alias("n_pages"), F.count_if(X.squeeze(F.col("s.text")) == F.col("flat")).alias("n_same"))
-
-
 QUERIES = (
     document_frequency, crosswalk_topk, crosswalk_status, crosswalk_status_counts, verify_candidates, verify_best, review_gate, review_gate_counts, constraint_errors,
     duplicate_records, conflicting_copies, dedupe_last_wins, dedupe_richest, dedupe_hash_first, manifest_one_to_one, coverage_sets, coverage_rollup, status_pivot,
     referential_gaps, question_solutions, questions_without_solution, questions_by_difficulty, source_mapping_topk, mapping_status, topic_pages, resolve_topic_longest,
     resolve_topic_unique, resolve_unit_overlap, keyword_subject, next_topic, previous_topics, normal_forms, document_tokens, title_bigrams, top_terms, root_counts,
-    chunk_sentences, extractive_answers, excerpt_windows, script_guard, page_parts, visible_text,
+    chunk_sentences, extractive_answers, excerpt_windows, script_guard, page_parts,
 )
