@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kavak.functions.text import bare_words, bigrams, let, search_tokens, source_tokens
+from kavak.operators.matching import contained
 from kavak.operators.ranking import top_k
+from kavak.plans.lineage import written
 
 # The weights of the relevance score.
 WEIGHT_TITLE, WEIGHT_THEME, WEIGHT_FRAMEWORK = 8.0, 0.5, 0.15
@@ -23,12 +25,17 @@ AFFINE, NOT_AFFINE, SINGLE_HIT, HIT_BONUS, MOST_BONUS_HITS, TF_BONUS, MOST_TF =
 FEW_OUTCOMES = 20_000
 
 
-def postings(pages: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
-    """``(keys, token, tf)`` of each page's search tokens; a page without tokens has none.
+def page_tokens(pages: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
+    """``(keys, tokens)``: each page's search tokens in order, made once and laid out by page in the shared folder."""
+    return written(pages.select(*keys, search_tokens(text).alias("tokens")), "tokens")
+
+
+def postings(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, token, tf)`` of :func:`page_tokens`; a page without tokens has none.
 
     The rows lie by page, so sums over a page's tokens need no further shuffle.
     """
-    return pages.select(*keys, F.explode(search_tokens(text)).alias("token")).repartition(*keys).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    return tokens.select(*keys, F.explode("tokens").alias("token")).repartition(*keys).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -45,30 +52,34 @@ def page_scores(outcomes: DataFrame, pages: DataFrame, page_keys: Sequence[str],
     places), ``title_hits``, ``bigram_hits`` and ``affine``.  Repeated pages
     (equal keys) count as one page of all their tokens.
     """
-    post = postings(pages, page_keys, text)
-    n = pages.select(*page_keys).distinct().agg(F.count("*").alias("n_pages"))
+    outcomes = written(outcomes.select("outcome_id", "grade", "title", "theme", "framework"), "outcomes")
+    tokens = page_tokens(pages, page_keys, text)
+    post = postings(tokens, page_keys)
+    n = tokens.select(*page_keys).distinct().agg(F.count("*").alias("n_pages"))
     df = document_frequency(post)
     fields = [("title", WEIGHT_TITLE), ("theme", WEIGHT_THEME), ("framework", WEIGHT_FRAMEWORK)]
     term = None
     for name, weight in fields:
         part = outcomes.select("outcome_id", "grade", F.lit(name).alias("field"), F.lit(weight).alias("weight"), F.explode(F.array_distinct(search_tokens(F.col(name)))).alias("token"))
         term = part if term is None else term.union(part)
-    weighted = term.join(df, "token").crossJoin(n)  # one row
-    idf = F.log((F.col("n_pages") + 1) / (F.col("df") + 1)) + 1
-    weighted = weighted.select("token", "outcome_id", "grade", "field", (F.col("weight") * idf).alias("worth"))
+    n_pages = n.first()["n_pages"]
+    idf = F.log((F.lit(n_pages) + 1) / (F.col("df") + 1)) + 1
+    # a token of several fields is one row of their worths
+    weighted = term.join(df, "token").groupBy("token", "outcome_id", "grade").agg(F.sum(F.col("weight") * idf).alias("worth"), F.count_if(F.col("field") == "title").alias("in_title"))
     # a bounded list of outcomes goes to all pages; a longer one meets them by shuffle
     few = outcomes.limit(FEW_OUTCOMES + 1).count() <= FEW_OUTCOMES
     hit = post.join(F.broadcast(weighted) if few else weighted, "token")
     tf = 1 + TF_BONUS * (F.least(F.col("tf"), F.lit(MOST_TF)) - 1)
-    title = F.col("field") == "title"
     sums = (
         hit.groupBy("outcome_id", "grade", *page_keys)
-        .agg(F.sum(F.col("worth") * tf).alias("base"), F.count_if(title).alias("title_hits"))
+        .agg(F.sum(F.col("worth") * tf).alias("base"), F.sum("in_title").alias("title_hits"))
         .filter(F.col("title_hits") > 0)
     )
     pair = outcomes.select("outcome_id", F.explode(F.array_distinct(bigrams(F.array_distinct(search_tokens(F.col("title")))))).alias("pair"))
-    there = pages.select(*page_keys, F.explode(F.array_distinct(bigrams(search_tokens(text)))).alias("pair")).join(pair.select("pair").distinct(), "pair", "left_semi").distinct()
-    bigram = there.join(pair, "pair").groupBy("outcome_id", *page_keys).agg(F.count("*").alias("bigram_hits"))
+    sent = F.broadcast(pair) if few else pair
+    there = tokens.repartition(*page_keys).select(*page_keys, F.explode(F.array_distinct(bigrams(F.col("tokens")))).alias("pair"))
+    # a page that stands twice holds a pair once
+    bigram = there.join(sent, "pair").groupBy("outcome_id", *page_keys).agg(F.countDistinct("pair").alias("bigram_hits"))
     both = sums.join(bigram, ["outcome_id", *page_keys], "left").withColumn("bigram_hits", F.coalesce("bigram_hits", F.lit(0).cast("long")))
     score = (F.col("base") + WEIGHT_BIGRAM * F.col("bigram_hits")) * F.when(affine, AFFINE).otherwise(NOT_AFFINE)
     score = score * F.when((F.col("title_hits") == 1) & (F.col("bigram_hits") == 0), SINGLE_HIT).otherwise(1.0)
@@ -136,6 +147,41 @@ def topic_page_score(text: Column, topic: Column, subtopics: Column, sibling_hit
     return let(let(bare_words(raw) if page_words is None else page_words, judged), score)
 
 
+def topic_page_sums(pages: DataFrame, id: str, text: str, topics: DataFrame, key: str, topic: str, subtopics: str) -> DataFrame:
+    """``(key, id, score, support)`` as :func:`topic_page_score` has it, for the pages that hold any name, phrase or word of a topic.
+
+    What is sought is found in each page once, whichever topics seek it, and
+    the points are summed by topic and page; no text meets a topic.  A page
+    that holds five names of the list loses points, as contents lists do.
+    Phrases of fewer than three signs aren't sought.  Null texts are left out.
+    """
+    t = topics.select(F.col(key).alias("k"), topic_terms(F.col(topic), F.col(subtopics)).alias("t"))
+    one = lambda role, part, piece, n: F.struct(F.lit(role).alias("role"), part.cast("int").alias("part"), piece.alias("piece"), n.cast("int").alias("n"))
+    none = F.lit(-1)
+    names = F.array(one("name", none, F.col("t.name"), none))
+    words = F.transform("t.tokens", lambda x: one("word", none, x, none))
+    phrases = F.transform("t.parts", lambda x, i: one("phrase", i, x["phrase"], none))
+    pieces = F.flatten(F.transform("t.parts", lambda x, i: F.transform(x["words"], lambda w: one("piece", i, w, F.size(x["words"])))))
+    sought = t.select("k", F.explode(F.concat(names, words, phrases, pieces)).alias("x")).select("k", "x.*").filter(F.length("piece") >= 3)
+    texts = pages.filter(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
+    texts = texts.withColumn("short", F.length(F.trim("text")) < 120).withColumn("long", F.length("text") >= 700)
+    found = contained(texts, "id", "text", sought.select("piece").distinct(), "piece", lambda c: bare_words(c)).select("id", "piece")
+    facts = texts.select("id", "short", "long", F.contains(bare_words(F.col("text")), F.lit("icindekiler")).alias("listing"))
+    hits = found.join(F.broadcast(sought) if sought.limit(FEW_OUTCOMES + 1).count() <= FEW_OUTCOMES else sought, "piece")
+    whole = F.col("role") == "phrase"
+    by_part = hits.groupBy("id", "k", F.when(F.col("role").isin("phrase", "piece"), F.col("part")).otherwise(F.lit(-1)).alias("part")).agg(
+        F.max(F.col("role") == "name").alias("named"), F.count_if(F.col("role") == "word").alias("words"), F.max(whole).alias("whole"), F.count_if(F.col("role") == "piece").alias("pieces"), F.max("n").alias("n")
+    )
+    enough = (F.col("pieces") >= 2) & (F.col("pieces") / F.col("n") >= 0.5)
+    points = F.when(F.col("part") < 0, F.when(F.col("named"), 140).otherwise(0) + F.col("words") * 10).otherwise(F.when(F.col("whole"), 45).when(enough, 18 + F.col("pieces") * 4).otherwise(0))
+    support = F.when(F.col("part") < 0, F.when(F.col("named"), 2).otherwise(0) + F.col("words")).otherwise(F.when(F.col("whole"), 2).when(enough, 1).otherwise(0))
+    sums = by_part.groupBy("id", "k").agg(F.sum(points).alias("points"), F.sum(support).alias("support"))
+    titles = hits.filter("role = 'name'").groupBy("id").agg(F.countDistinct("k").alias("titles"))
+    rows = sums.join(facts, "id").join(titles, "id", "left")
+    score = F.col("points") + F.when(F.col("listing"), -300).otherwise(0) + F.when(F.col("long"), 8).otherwise(0) + F.when(F.col("titles") >= 5, -220).otherwise(0)
+    return rows.select(F.col("k").alias(key), F.col("id").alias(id), F.when(F.col("short"), -1000).otherwise(score).cast("int").alias("score"), F.when(F.col("short"), 0).otherwise(F.col("support")).cast("int").alias("support"))
+
+
 def excerpts(pages: DataFrame, id: str, text: str, phrases: Column, tokens: Column, most: int = 6000, keep: int = 8, before: int = 4, after: int = 8) -> DataFrame:
     """``(id, excerpt)``: a long text's lines around its ``keep`` best ones, in order, cut at ``most`` signs; short texts whole.
 

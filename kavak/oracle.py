@@ -311,3 +311,108 @@ SELECT *, CASE WHEN weak_topics >= 3 THEN 'high' WHEN weak_topics > 0 THEN 'medi
     "last_topic": f"SELECT student_id, first(topic ORDER BY logged_at DESC, log_id DESC) AS last_topic FROM {_LOG} WHERE topic IS NOT NULL GROUP BY 1",
     "study_windows": f"SELECT strftime(make_timestamp((epoch_us(logged_at) // (7 * 86400000000)) * 7 * 86400000000), '%Y-%m-%d') AS starts, subject, count(*) AS n_rows, sum(duration)::BIGINT AS minutes FROM {_LOG} GROUP BY 1, 2",
 }
+
+# the best pages checked, and the texts' sentences -------------------------------
+_VERIFIED = f"""{_CROSSWALK}, titles AS (SELECT outcome_id, list_distinct({_words(_search("title"), T.STOP_VERIFY)}) AS tt FROM outcomes),
+title_words AS (SELECT outcome_id, token, row_number() OVER (PARTITION BY outcome_id ORDER BY min(i)) AS n
+  FROM (SELECT outcome_id, unnest(tt) AS token, generate_subscripts(tt, 1) AS i FROM (SELECT outcome_id, {_words(_search("title"), T.STOP_VERIFY)} AS tt FROM outcomes)) GROUP BY 1, 2),
+neighbours AS (SELECT DISTINCT outcome_id, token || ' ' || after AS pair FROM (SELECT outcome_id, token, lead(token) OVER (PARTITION BY outcome_id ORDER BY n) AS after FROM title_words) WHERE after IS NOT NULL),
+raw AS (SELECT outcome_id, pair FROM (SELECT outcome_id, token || ' ' || after AS pair FROM (SELECT outcome_id, token, lead(token) OVER (PARTITION BY outcome_id ORDER BY i) AS after
+  FROM (SELECT outcome_id, unnest(tt) AS token, generate_subscripts(tt, 1) AS i FROM (SELECT outcome_id, {_words(_search("title"), T.STOP_VERIFY)} AS tt FROM outcomes))) WHERE after IS NOT NULL) GROUP BY ALL),
+three AS (SELECT b.outcome_id, b.record_no, b.score, b.affine, b.r AS rank, string_split({_search("e.evidence_text")}, ' ') AS words, ' ' || {_search("e.evidence_text")} || ' ' AS page,
+    {" AND ".join(f"coalesce(CAST(e.source.{f} AS VARCHAR), '') NOT IN ('', '0')" for f in ("source_anchor", "html_path", "image_path"))} AND coalesce(trim(e.evidence_text) <> '', false) AS complete
+  FROM best b JOIN evidence_records e ON e.record_no = b.record_no WHERE b.r <= 3),
+checked AS (
+  SELECT t.outcome_id, t.record_no, t.score, t.rank, len(list_intersect(o.tt, t.words)) AS title_hits,
+    (SELECT count(*) FROM neighbours p WHERE p.outcome_id = t.outcome_id AND contains(t.page, ' ' || p.pair || ' ')) AS bigram_hits, t.complete, t.affine
+  FROM three t JOIN titles o ON o.outcome_id = t.outcome_id
+), verified AS (
+  SELECT outcome_id, record_no, score, rank, title_hits, bigram_hits, CASE WHEN complete AND title_hits >= 3 AND affine THEN 'VERIFIED' WHEN complete AND title_hits >= 1 THEN 'REVIEW_REQUIRED' ELSE 'REJECTED' END AS status FROM checked
+)
+"""
+_SENTENCES = r"""(
+  SELECT record_no, line_no, piece_no, piece FROM (
+    SELECT record_no, line_no, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS piece_no FROM (
+      SELECT record_no, line_no, string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS pieces FROM (
+        SELECT record_no, line_no, trim(regexp_replace(raw, '[\s\x0b]+', ' ', 'g'), ' ') AS line FROM (
+          SELECT record_no, unnest(lines) AS raw, generate_subscripts(lines, 1) AS line_no FROM (SELECT record_no, string_split(regexp_replace(evidence_text, '\r\n?', chr(10), 'g'), chr(10)) AS lines FROM evidence_records WHERE evidence_text IS NOT NULL)))
+      WHERE length(line) >= 20 AND NOT regexp_matches(line, '^https?://')))
+  WHERE length(piece) >= 20 AND (len(string_split(piece, ' ')) < 8 OR regexp_matches(piece, '[.!?:;)\]}]$') OR contains(piece, '=')))"""
+
+
+def _grounding(c: str) -> str:
+    return f"list_distinct({_words(_bare_words(c), T.STOP_GROUNDING)})"
+
+
+_QTOKENS = "list_distinct(list_filter(string_split(trim(regexp_replace(replace({low}, '-', ' '), '[\\s\\x0b]+', ' ', 'g')), ' '), lambda t: length(t) >= 3))"
+
+
+def _question_words(c: str) -> str:
+    """Small letters without marks, ı kept apart, as words."""
+    low = f"replace(replace(strip_accents(replace(replace({_small(f"trim(coalesce({c}, ''))")}, chr(775), ''), 'ı', chr(1))), chr(1), 'ı'), 'ß', 'ss')"
+    return _QTOKENS.format(low=low)
+
+
+def _variants(rows: str) -> str:
+    """(id, token) of the words and their forms without the ending."""
+    return f"SELECT DISTINCT id, token FROM (SELECT id, t AS token FROM {rows} UNION ALL SELECT id, left(t, length(t) - 2) FROM {rows} WHERE length(t) >= 5 AND regexp_matches(t, 'n[iıu]$'))"
+
+
+_SUBJECT = _TSMALL.format(c="subject")
+ORACLE |= {
+    "verify_candidates": _VERIFIED + "SELECT outcome_id, record_no, score, rank, title_hits, bigram_hits, status FROM verified",
+    "verify_best": _VERIFIED + """SELECT outcome_id, record_no, score, title_hits, bigram_hits, status FROM (SELECT *, row_number() OVER (PARTITION BY outcome_id ORDER BY
+  CASE status WHEN 'VERIFIED' THEN 3 WHEN 'REVIEW_REQUIRED' THEN 2 ELSE 1 END DESC, title_hits DESC, bigram_hits DESC, score DESC, record_no) AS place FROM verified) WHERE place = 1""",
+    "chunk_sentences": f"""SELECT e.record_no, count(s.piece) AS n_sentences, CAST(coalesce(sum(length(s.piece)), 0) AS BIGINT) AS n_signs FROM evidence_records e LEFT JOIN {_SENTENCES} s ON s.record_no = e.record_no
+WHERE e.evidence_text IS NOT NULL GROUP BY 1""",
+    "resolve_unit_overlap": f"""
+WITH q AS (SELECT id, min(question) AS question FROM questions WHERE question IS NOT NULL GROUP BY 1), u AS (SELECT outcome_id AS id, min(outcome_title) AS title FROM evidence_records WHERE outcome_id IS NOT NULL GROUP BY 1 HAVING min(outcome_title) IS NOT NULL),
+qw AS (SELECT id, unnest({_question_words("question")}) AS t FROM q), uw AS (SELECT id, unnest({_question_words("title")}) AS t FROM u), qt AS ({_variants("qw")}), ut AS ({_variants("uw")}), n AS (SELECT id, count(*) AS n FROM ut GROUP BY 1),
+o AS (SELECT qt.id, ut.id AS unit, count(*) AS h FROM qt JOIN ut USING (token) GROUP BY 1, 2),
+s AS (SELECT o.id, o.unit, CAST(o.h * 100 + floor(o.h / n.n * 100) AS BIGINT) AS score FROM o JOIN n ON n.id = o.unit WHERE o.h >= 4 AND o.h / n.n >= 0.6
+  UNION ALL SELECT q.id, u.id, 10000 FROM q JOIN u ON contains(lower(trim(q.question)), lower(trim(u.title))) WHERE length(trim(u.title)) >= 3),
+b AS (SELECT id, unit, max(score) AS score FROM s GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY score DESC) AS r FROM b)
+SELECT id, min(unit) AS outcome_id, min(score) AS score FROM r WHERE r = 1 GROUP BY 1 HAVING count(*) = 1""",
+    "topic_pages": f"""
+WITH d AS (SELECT doc_id, text, {_bare_words("text")} AS page FROM documents WHERE text IS NOT NULL AND {_SUBJECT} = 'tarih'),
+t AS (SELECT topic_no, {_bare_words("topic")} AS name, list_distinct({_words(_bare_words("topic"), T.STOP_SOURCE, 4)}) AS tokens FROM tyt_tarih),
+p AS (SELECT topic_no, i, {_bare_words("s")} AS phrase, list_distinct({_words(_bare_words("s"), T.STOP_SOURCE, 4)}) AS words FROM (SELECT topic_no, unnest(subtopics) AS s, generate_subscripts(subtopics, 1) AS i FROM tyt_tarih) WHERE trim(s) <> ''),
+titles AS (SELECT d.doc_id, count(*) AS n FROM d JOIN t ON contains(d.page, t.name) GROUP BY 1),
+own AS (SELECT t.topic_no, d.doc_id, contains(d.page, t.name) AS named, len(list_filter(t.tokens, lambda x: contains(d.page, x))) AS hits FROM t, d),
+sub AS (SELECT p.topic_no, d.doc_id, contains(d.page, p.phrase) AS whole, len(list_filter(p.words, lambda x: contains(d.page, x))) AS n, len(p.words) AS of FROM p, d),
+subs AS (SELECT topic_no, doc_id, sum(CASE WHEN whole THEN 45 WHEN n >= 2 AND n / of >= 0.5 THEN 18 + 4 * n ELSE 0 END) AS points, sum(CASE WHEN whole THEN 2 WHEN n >= 2 AND n / of >= 0.5 THEN 1 ELSE 0 END) AS support FROM sub GROUP BY 1, 2),
+scored AS (
+  SELECT o.topic_no, o.doc_id, CAST(CASE WHEN length(trim(d.text)) < 120 THEN -1000 ELSE CASE WHEN o.named THEN 140 ELSE 0 END + 10 * o.hits + coalesce(s.points, 0) + CASE WHEN contains(d.page, 'icindekiler') THEN -300 ELSE 0 END
+      + CASE WHEN length(d.text) >= 700 THEN 8 ELSE 0 END + CASE WHEN i.n >= 5 THEN -220 ELSE 0 END END AS INTEGER) AS score,
+    CAST(CASE WHEN length(trim(d.text)) < 120 THEN 0 ELSE CASE WHEN o.named THEN 2 ELSE 0 END + o.hits + coalesce(s.support, 0) END AS INTEGER) AS support
+  FROM own o JOIN d ON d.doc_id = o.doc_id LEFT JOIN subs s ON s.topic_no = o.topic_no AND s.doc_id = o.doc_id LEFT JOIN titles i ON i.doc_id = o.doc_id)
+SELECT topic_no, doc_id, score, support, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic_no ORDER BY score DESC, support DESC, doc_id) AS rank FROM scored WHERE score >= 30 AND support >= 1) WHERE rank <= 3""",
+}
+
+ORACLE |= {
+    "extractive_answers": f"""
+WITH RECURSIVE s AS (SELECT record_no, piece, row_number() OVER (PARTITION BY record_no ORDER BY line_no, piece_no) - 1 AS place FROM {_SENTENCES}),
+e AS (SELECT record_no, {_grounding("outcome_title")} AS q, {_grounding("theme_name")} AS way FROM evidence_records WHERE evidence_text IS NOT NULL AND outcome_title IS NOT NULL),
+scored AS (SELECT s.record_no, s.piece, min(s.place) AS place, max(6 * len(list_intersect(e.q, {_grounding("s.piece")})) + 2 * len(list_intersect(e.way, {_grounding("s.piece")}))) AS score FROM s JOIN e ON e.record_no = s.record_no GROUP BY 1, 2),
+item AS (SELECT *, length(piece) AS n, row_number() OVER (PARTITION BY record_no ORDER BY score DESC, place) AS i FROM scored),
+take AS (
+  SELECT record_no, i, n AS signs, 1 AS kept, true AS fits FROM item WHERE i = 1
+  UNION ALL
+  SELECT x.record_no, x.i, CASE WHEN t.signs + x.n <= 5200 AND t.kept < 14 THEN t.signs + x.n ELSE t.signs END, CASE WHEN t.signs + x.n <= 5200 AND t.kept < 14 THEN t.kept + 1 ELSE t.kept END, t.signs + x.n <= 5200 AND t.kept < 14
+  FROM take t JOIN item x ON x.record_no = t.record_no AND x.i = t.i + 1
+)
+SELECT i.record_no, CAST(count(*) AS INTEGER) AS n_chunks, string_agg(i.piece, chr(10) ORDER BY i.place) AS answer FROM take t JOIN item i ON i.record_no = t.record_no AND i.i = t.i WHERE t.fits GROUP BY 1""",
+    "excerpt_windows": f"""
+WITH lists AS (SELECT subject, topic_no::BIGINT AS spot, topic, subtopics FROM tyt_tarih UNION ALL SELECT subject, plan_id, topic, subtopics FROM ayt_biyoloji),
+first AS (SELECT subject, list_prepend(topic, subtopics) AS parts FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY spot, topic, subtopics) AS r FROM lists WHERE subtopics IS NOT NULL) WHERE r = 1),
+sought AS (SELECT subject, list_filter(list_transform(parts, lambda x: {_bare_words("x")}), lambda x: length(x) >= 5) AS phrases, list_distinct({_words(_bare_words("array_to_string(parts, ' ')"), T.STOP_SOURCE, 4)}) AS tokens FROM first),
+d AS (SELECT doc_id, trim(text, ' ') AS t, phrases, tokens FROM documents LEFT JOIN sought USING (subject) WHERE text IS NOT NULL),
+long AS (SELECT * FROM d WHERE length(t) > 6000),
+cut AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\\r\\n|[\\n\\x0b\\f\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines, phrases, tokens FROM long),
+line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i, phrases, tokens FROM cut),
+points AS (SELECT doc_id, i, line, CASE WHEN len(list_filter(coalesce(phrases, []), lambda p: contains({_bare_words("line")}, p))) > 0 THEN 20 ELSE 0 END + 2 * len(list_filter(coalesce(tokens, []), lambda p: contains({_bare_words("line")}, p))) AS s FROM line),
+best AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, i) AS r FROM points WHERE s > 0) WHERE r <= 8),
+kept AS (SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.i) AS t FROM points p WHERE EXISTS (SELECT 1 FROM best b WHERE b.doc_id = p.doc_id AND p.i BETWEEN b.i - 4 AND b.i + 8) GROUP BY 1),
+e AS (SELECT d.doc_id, CASE WHEN length(d.t) <= 6000 THEN d.t WHEN k.t IS NOT NULL THEN trim(left(k.t, 6000), ' ') ELSE left(d.t, 6000) END AS x FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id)
+SELECT doc_id, length(x) AS n_signs, sha256(x) AS sha256 FROM e""",
+}

@@ -43,7 +43,7 @@ def _scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
     """In how many pages each token stands."""
-    return scoring.document_frequency(scoring.postings(pages(spark, folder), ["record_no"], F.col("evidence_text")))
+    return scoring.document_frequency(scoring.postings(scoring.page_tokens(pages(spark, folder), ["record_no"], F.col("evidence_text")), ["record_no"]))
 
 
 def crosswalk_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -224,16 +224,9 @@ def mapping_status(spark: SparkSession, folder: str) -> DataFrame:
 def topic_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The three best history documents of each topic of the list by phrases and words (30 points and one support at least)."""
     topics = table(spark, folder, "tyt_tarih").select("topic_no", "topic", "subtopics")
-    docs = table(spark, folder, "documents").filter((F.col("subject") == "Tarih") & F.col("text").isNotNull()).select("doc_id", "text")
-    # a page can only score with a token or phrase of the topic: meet on three-sign pieces of those
-    parts = topics.select("topic_no", F.explode(F.concat(F.array("topic"), F.coalesce("subtopics", F.array().cast("array<string>")))).alias("part"))
-    tokens = parts.select("topic_no", F.explode(F.array_union(X.source_tokens(F.col("part")), F.array(X.bare_words(F.col("part"))))).alias("piece")).filter(F.length("piece") >= 3).distinct()
-    met = matching.contained(docs, "doc_id", "text", tokens, "piece", X.bare_words).select("doc_id", "topic_no").distinct()
-    plain = docs.withColumn("words", X.bare_words(F.col("text")))
-    sought = topics.withColumn("terms", scoring.topic_terms(F.col("topic"), F.col("subtopics")))
-    score = scoring.topic_page_score(F.col("text"), F.col("topic"), F.col("subtopics"), page_words=F.col("words"), terms=F.col("terms"))
-    scored = met.join(sought, "topic_no").join(plain, "doc_id").select("topic_no", "doc_id", score.alias("s"))
-    kept = scored.select("topic_no", "doc_id", "s.score", "s.support").filter("score >= 30 and support >= 1")
+    docs = spread(table(spark, folder, "documents").filter(X.turkish_small(F.col("subject")) == "tarih").select("doc_id", "text"))
+    scored = scoring.topic_page_sums(docs, "doc_id", "text", topics, "topic_no", "topic", "subtopics")
+    kept = scored.filter("score >= 30 and support >= 1")
     return ranking.top_k(kept, ["topic_no"], [F.desc("score"), F.desc("support"), F.col("doc_id")], 3)
 
 
@@ -255,7 +248,7 @@ def resolve_unit_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """The one biology outcome whose title shares most tokens with each question's text; none on ties."""
     q = table(spark, folder, "questions").filter(F.col("question").isNotNull()).groupBy("id").agg(F.min("question").alias("question"))
     units = outcomes(spark, folder).filter(F.col("title").isNotNull()).select("outcome_id", "title")
-    found = matching.overlap_matches(q, "id", "question", units, "outcome_id", "title", least=2, share=0.25)
+    found = matching.overlap_matches(q, "id", "question", units, "outcome_id", "title")
     return ranking.unique_best(found, ["id"], "score").select("id", "outcome_id", "score")
 
 
@@ -331,11 +324,15 @@ def extractive_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def excerpt_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Long documents cut to the lines around words of their subject's first topic; only their lengths here."""
-    rows = table(spark, folder, "documents").filter(F.col("text").isNotNull()).select("doc_id", "text")
-    words = F.array(*(F.lit(w) for w in ("hucre", "enzim", "donanma", "medrese", "ferman")))
-    out = scoring.excerpts(rows, "doc_id", "text", F.array(F.lit("hucre zari"), F.lit("saray arsivi")), words)
-    return out.select("doc_id", F.length("excerpt").cast("long").alias("n_signs"))
+    """Long documents cut to the lines around names and words of their subject's first topic, as hashes; short ones, and those of other subjects, whole or from the start."""
+    lists = table(spark, folder, "tyt_tarih").select("subject", F.col("topic_no").cast("long").alias("spot"), "topic", "subtopics").union(table(spark, folder, "ayt_biyoloji").select("subject", "plan_id", "topic", "subtopics"))
+    first = ranking.first_wins(lists.filter(F.col("subtopics").isNotNull()), ["subject"], [F.col("spot"), F.col("topic")])
+    parts = F.concat(F.array("topic"), "subtopics")
+    sought = first.select("subject", F.transform(parts, X.bare_words).alias("phrases"), X.source_tokens(F.array_join(parts, " ")).alias("tokens"))
+    rows = spread(table(spark, folder, "documents").filter(F.col("text").isNotNull()).select("doc_id", "text", "subject")).join(sought, "subject", "left")
+    none = F.array().cast("array<string>")
+    out = scoring.excerpts(rows, "doc_id", "text", F.coalesce("phrases", none), F.coalesce("tokens", none))
+    return out.select("doc_id", F.length("excerpt").cast("long").alias("n_signs"), S.text_hash(F.col("excerpt")).alias("sha256"))
 
 
 def script_guard(spark: SparkSession, folder: str) -> DataFrame:
