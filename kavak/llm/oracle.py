@@ -41,6 +41,10 @@ _NOT_PLAIN = f"""
 SELECT record_no, field FROM (SELECT record_no, 'evidence_text' AS field, evidence_text AS v FROM evidence_records UNION ALL SELECT record_no, 'outcome_title', outcome_title FROM evidence_records)
 WHERE v IS NOT NULL AND (nfc_normalize(v) <> v OR regexp_matches(v, '{_ODD}') OR len(list_filter(regexp_extract_all(v, '[\\p{{L}}\\p{{M}}]+'), lambda w: {_MIXED})) > 0)"""
 
+_LEAKS = f"""
+WITH i AS ({_runs("eval_items", "item_id", _words("text"), 10)}), d AS ({_runs("(SELECT doc_id, regexp_replace(text, '&nbsp;', ' ', 'gi') AS text FROM documents WHERE text IS NOT NULL)", "doc_id", _words("text"), 10)})
+"""
+
 ORACLE: dict[str, str] = {
     "p2_found": _NOT_PLAIN,
     "p3_found": _ALIKE + "SELECT a AS record_no_a, b AS record_no_b FROM pairs",
@@ -50,7 +54,6 @@ c AS (SELECT class_id, count(*) AS members FROM class GROUP BY 1),
 links AS (SELECT id, count(*) AS links FROM (SELECT x.class_id AS id, y.class_id AS other FROM pairs p JOIN class x ON x.record_no = p.a JOIN class y ON y.record_no = p.b WHERE x.class_id <> y.class_id
   UNION SELECT y.class_id, x.class_id FROM pairs p JOIN class x ON x.record_no = p.a JOIN class y ON y.record_no = p.b WHERE x.class_id <> y.class_id) GROUP BY 1)
 SELECT s.record_no, s.class_id, c.members, coalesce(l.links, 0) AS links FROM class s JOIN c ON c.class_id = s.class_id LEFT JOIN links l ON l.id = s.class_id""",
-    "p7_found": f"""
-WITH i AS ({_runs("eval_items", "item_id", _words("text"), 10)}), d AS ({_runs("(SELECT doc_id, regexp_replace(text, '&nbsp;', ' ', 'gi') AS text FROM documents WHERE text IS NOT NULL)", "doc_id", _words("text"), 10)})
-SELECT DISTINCT d.doc_id, i.item_id FROM d JOIN i ON i.run = d.run""",
+    "p7_found": _LEAKS + "SELECT DISTINCT d.doc_id, i.item_id FROM d JOIN i ON i.run = d.run",
+    "p7_shares": _LEAKS + "SELECT d.doc_id, i.item_id, count(*) AS shared, n.n AS passages, round(count(*) / n.n, 6) AS containment FROM d JOIN i ON i.run = d.run JOIN (SELECT item_id, count(*) AS n FROM i GROUP BY 1) n ON n.item_id = i.item_id GROUP BY 1, 2, n.n",
 }

@@ -67,6 +67,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(_documents(spark, folder), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
 
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each item each of these documents holds."""
+    found = leaks.containments(_documents(spark, folder), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+    return found.withColumn("containment", F.round("containment", 6))
+
+
 def _model(spark: SparkSession, folder: str) -> bytes:
     return languages.fitted(table(spark, folder, "lang_samples"), "lang", "text", table(spark, folder, "documents"), "doc_id", "lang", "text")
 
@@ -87,4 +93,4 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
     return languages.segments(_documents(spark, folder), "doc_id", "text", _model(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p3_groups, p5_found, p5_near, p6_ids, p7_found, p8_found, p8_languages, p8_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p3_groups, p5_found, p5_near, p6_ids, p7_found, p7_shares, p8_found, p8_languages, p8_segments)}

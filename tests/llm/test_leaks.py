@@ -4,7 +4,7 @@ import re
 import pytest
 
 from kavak.llm import leaks as module
-from kavak.llm.leaks import leaks
+from kavak.llm.leaks import containments, leaks
 
 
 def words(t):
@@ -42,3 +42,13 @@ def test_nothing(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "x")], "item_id long, text string")
     assert leaks(docs, "doc_id", "text", items, "item_id", "text").count() == 0
     assert leaks(docs.limit(0), "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("sent", [module.SENT, 0])
+def test_containment(spark, monkeypatch, sent):
+    """The share of an item's passages, each counted once however often it stands."""
+    monkeypatch.setattr(module, "SENT", sent)
+    item = [f"kelime{i}" for i in range(29)]
+    docs = [(1, " ".join(item)), (2, " ".join(item[:10] + ["ara"] + item[:10])), (3, " ".join(item[:9])), (4, " ".join(item[5:20])), (5, None)]
+    rows = containments(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame([(7, " ".join(item)), (8, "kısa")], "item_id long, text string"), "item_id", "text").collect()
+    assert {(r.doc_id, r.item_id, r.shared, r.passages, round(r.containment, 3)) for r in rows} == {(1, 7, 20, 20, 1.0), (2, 7, 1, 20, 0.05), (4, 7, 6, 20, 0.3)}
