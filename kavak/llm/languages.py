@@ -192,6 +192,12 @@ def folded_words(text: str) -> list[str]:
     return ["".join(map(fold, text[a:b])) for a, b in zip(w.start.tolist(), w.end.tolist())]
 
 
+#: Words from which on a run inside a sentence is another language; pieces of fewer words take their neighbour's.
+SWITCH_WORDS, CARRY_WORDS = 4, 4
+#: Mean probability under which a run has no certain language, and the label that it gets.
+SURE, UND = 0.8, len(LANGS)
+
+
 def _spaced(text: str | None) -> str | None:
     return _NBSP.sub(" ", text) if text and "&" in text else text
 
@@ -222,11 +228,19 @@ class Labeller:
 
     def sentences(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each piece with words: its text's number, begin and end there, whether it is a full sentence, language, confidence."""
+        texts, of, begin, end, full, many, _, _, p = self.pieces(texts)
+        if not len(of):
+            return texts, of, begin, end, full, of, of.astype(float)
+        total = np.add.reduceat(p, np.cumsum(many) - many, axis=0)
+        return texts, of, begin, end, full, total.argmax(1), total.max(1) / many
+
+    def pieces(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each piece with words: its text's number, begin and end there, whether it is a full sentence, its words; of each word: begin, end, the languages' probabilities."""
         texts = [t or "" for t in plain_many([_spaced(t) for t in texts])]
         w = words(texts)
         if not len(w.hashes):
             none = np.zeros(0, np.int64)
-            return texts, none, none, none, none.astype(bool), none, none.astype(float)
+            return texts, none, none, none, none.astype(bool), none, none, none, np.zeros((0, len(LANGS)))
         s = w.signs
         stop = np.isin(s, _STOPS)
         follow = np.concatenate((s[1:], [10])).astype(np.int64)
@@ -243,26 +257,63 @@ class Labeller:
         begin = np.flatnonzero(first)
         many = np.diff(np.append(begin, len(piece)))
         p, _ = forward_backward(self._scores(w), many, self.model.moves)
-        total = np.add.reduceat(p, begin, axis=0)
-        lang = total.argmax(1)
-        sure = total.max(1) / many
         last = begin + many - 1
         cuts = np.flatnonzero(cut)
         stops = cuts[np.minimum(np.searchsorted(cuts, w.end[last]), len(cuts) - 1)]
         letters = np.add.reduceat((s[w.start] > 57).astype(np.int64), begin)
         full = stop[stops] & (letters >= SENTENCE_WORDS)
         text = w.text[begin]
-        return texts, text, w.start[begin] - w.at[text], stops + 1 - w.at[text], full, lang, sure
+        return texts, text, w.start[begin] - w.at[text], stops + 1 - w.at[text], full, many, w.start - w.at[w.text], w.end - w.at[w.text], p
 
 
-def _carried(of: np.ndarray, full: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    """Pieces that are no full sentence (titles, choices) take the language of the sentence before, else after, in their text."""
+def _word_labels(p: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The language of each word, from the chain's marginals; ``UND`` where its run isn't sure.
+
+    A run of fewer than ``SWITCH_WORDS`` words inside a piece is a foreign word
+    or phrase: it joins the longer of its neighbours, shortest runs first.
+    """
+    label = p.argmax(1)
+    begin = np.cumsum(many) - many
+    mixed = np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)
+    for k in np.flatnonzero(mixed).tolist():
+        a, b = int(begin[k]), int(begin[k] + many[k])
+        own = label[a:b]
+        edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True])))
+        runs = [[int(own[x]), int(y - x)] for x, y in zip(edge, edge[1:])]
+        while len(runs) > 1:
+            i = min(range(len(runs)), key=lambda i: runs[i][1])
+            if runs[i][1] >= SWITCH_WORDS:
+                break
+            j = i + 1 if i == 0 or (i + 1 < len(runs) and runs[i + 1][1] > runs[i - 1][1]) else i - 1
+            runs[j][1] += runs.pop(i)[1]
+            at = 1
+            while at < len(runs):  # neighbours that now agree are one run
+                if runs[at][0] == runs[at - 1][0]:
+                    runs[at - 1][1] += runs.pop(at)[1]
+                else:
+                    at += 1
+        label[a:b] = np.repeat([r[0] for r in runs], [r[1] for r in runs])
+    piece = np.repeat(np.arange(len(many)), many)
+    start = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]) | (label[1:] != label[:-1]))))
+    long = np.diff(np.append(start, len(label)))
+    sure = np.add.reduceat(p[np.arange(len(label)), label], start) / long
+    return np.where(np.repeat(sure < SURE, long), UND, label)
+
+
+def _carried(label: np.ndarray, of: np.ndarray, full: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Short or unsure pieces that are no full sentence (titles, choices) take the language of the sentence before, else after, in their text."""
+    begin = np.cumsum(many) - many
+    head, tail = label[begin], label[begin + many - 1]
+    keeps = full & (head != UND) & (tail != UND)
     place = np.arange(len(of))
-    before = np.maximum.accumulate(np.where(full, place, -1))
-    after = np.minimum.accumulate(np.where(full, place, len(of))[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(keeps, place, -1))
+    after = np.minimum.accumulate(np.where(keeps, place, len(of))[::-1])[::-1]
     before_ok = (before >= 0) & (of[np.maximum(before, 0)] == of)
     after_ok = (after < len(of)) & (of[np.minimum(after, len(of) - 1)] == of)
-    return np.where(full, lang, np.where(before_ok, lang[np.maximum(before, 0)], np.where(after_ok, lang[np.minimum(after, len(of) - 1)], lang)))
+    near = np.where(before_ok, tail[np.maximum(before, 0)], np.where(after_ok, head[np.minimum(after, len(of) - 1)], UND))
+    unsure = np.maximum.reduceat(label, begin) == UND
+    takes = ~full & ((many < CARRY_WORDS) | unsure) & (before_ok | after_ok)
+    return np.where(np.repeat(takes, many), np.repeat(near, many), label)
 
 
 _STOPS = np.array([ord(c) for c in ".!?…"], np.uint32)
@@ -335,22 +386,31 @@ _SEGMENTS = "id long, segment int, lang string, confidence double, sentences int
 def languages(documents: DataFrame, id: str, text: str, model: bytes) -> DataFrame:
     """``(id, languages)`` of each document: for each language its full sentences and their mean confidence.
 
-    Null, empty and sentence-less texts have an empty array.  Most sentences first.
+    A text with words but no full sentence has the one language of its pieces,
+    with 0 sentences; null and empty texts have an empty array.  Most sentences
+    first.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, n = batch.num_rows, len(LANGS)
         _, of, _, _, full, lang, sure = _labeller(sent.value).sentences(batch.column(1).to_pylist())
-        cell = of[full] * n + lang[full]
+        none = np.bincount(of[full], minlength=rows)[of] == 0
+        used = full | none
+        cell = of[used] * n + lang[used]
         many = np.bincount(cell, minlength=rows * n).reshape(rows, n)
-        mean = np.bincount(cell, sure[full], minlength=rows * n).reshape(rows, n) / np.maximum(many, 1)
+        mean = np.bincount(cell, sure[used], minlength=rows * n).reshape(rows, n) / np.maximum(many, 1)
+        # of a text without sentences the commonest language of its pieces alone
+        bare = np.bincount(of[none], minlength=rows) > 0
+        best = many == many.max(1, keepdims=True)
+        many[bare] *= (best & (np.cumsum(best, axis=1) == 1))[bare]
+        told = np.where(bare[:, None], 0, many)
         order = np.argsort(-many, axis=1, kind="stable")
         row = np.repeat(np.arange(rows), (many > 0).sum(1))
         col = np.concatenate([o[: (m > 0).sum()] for o, m in zip(order, many)]) if rows else np.zeros(0, np.int64)
         col = col.astype(np.int64)
         structs = pa.StructArray.from_arrays(
-            [pa.array(np.array(LANGS, object)[col], pa.string()), pa.array(many[row, col].astype(np.int32)), pa.array(mean[row, col])], ["lang", "sentences", "confidence"]
+            [pa.array(np.array(LANGS, object)[col], pa.string()), pa.array(told[row, col].astype(np.int32)), pa.array(mean[row, col])], ["lang", "sentences", "confidence"]
         )
         bounds = np.concatenate(([0], np.cumsum((many > 0).sum(1)))).astype(np.int32)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), structs)], ["id", "languages"])
@@ -360,26 +420,37 @@ def languages(documents: DataFrame, id: str, text: str, model: bytes) -> DataFra
 
 
 def segments(documents: DataFrame, id: str, text: str, model: bytes) -> DataFrame:
-    """Stretches of one language in each document, in order, in plain form; pieces without words belong to none."""
+    """Stretches of one language in each document, in order, in plain form; a stretch may begin and end inside a sentence.
+
+    ``lang`` is ``und`` where no language is sure; ``confidence`` is the mean
+    probability of the stretch's words in it (of their likeliest one for
+    ``und``); ``sentences`` counts the full sentences that lie in it whole.
+    Texts without words have none.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, of, begin, end, full, lang, sure = _labeller(sent.value).sentences(batch.column(1).to_pylist())
+        texts, of, begin, end, full, many, starts, ends, p = _labeller(sent.value).pieces(batch.column(1).to_pylist())
         if not len(of):
             return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string())], ["id", "segment", "lang", "confidence", "sentences", "text"])
-        lang = _carried(of, full, lang)
-        new = np.concatenate(([True], (of[1:] != of[:-1]) | (lang[1:] != lang[:-1])))
-        a = np.flatnonzero(new)
-        b = np.append(a[1:], len(of)) - 1
-        number = np.arange(len(a)) - np.searchsorted(of[a], of[a])
-        cut = [texts[t][x:y] for t, x, y in zip(of[a].tolist(), begin[a].tolist(), end[b].tolist())]
+        label = _carried(_word_labels(p, many), of, full, many)
+        text = np.repeat(of, many)
+        first = np.cumsum(many) - many
+        ends[first + many - 1] = end  # the last word takes the piece's last sign along
+        a = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (label[1:] != label[:-1]))))
+        b = np.append(a[1:], len(label)) - 1
+        number = np.arange(len(a)) - np.searchsorted(text[a], text[a])
+        cut = [texts[t][x:y] for t, x, y in zip(text[a].tolist(), starts[a].tolist(), ends[b].tolist())]
+        chosen = np.where(label == UND, p.max(1), p[np.arange(len(label)), np.minimum(label, len(LANGS) - 1)])
+        segment = np.repeat(np.arange(len(a)), b - a + 1)
+        whole = full & (segment[first] == segment[first + many - 1])
         return pa.RecordBatch.from_arrays(
             [
-                batch.column(0).take(pa.array(of[a])),
+                batch.column(0).take(pa.array(text[a])),
                 pa.array(number.astype(np.int32)),
-                pa.array(np.array(LANGS, object)[lang[a]], pa.string()),
-                pa.array(np.add.reduceat(sure, a) / (b - a + 1)),
-                pa.array(np.add.reduceat(full.astype(np.int32), a).astype(np.int32)),
+                pa.array(np.array([*LANGS, "und"], object)[label[a]], pa.string()),
+                pa.array(np.add.reduceat(chosen, a) / (b - a + 1)),
+                pa.array(np.bincount(segment[first][whole], minlength=len(a)).astype(np.int32)),
                 pa.array(cut, pa.string()),
             ],
             ["id", "segment", "lang", "confidence", "sentences", "text"],

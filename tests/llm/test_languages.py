@@ -65,3 +65,21 @@ def test_codes(spark):
     names = ["tr", "TR", "tr-TR", "tur", "Türkçe", "English", "en_GB", "deu", "und", "xx", "", "es", None, " ru "]
     rows = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r[0] for r in rows.select(code_of(F.col("n"))).collect()] == ["tr"] * 5 + ["en", "en", "de", None, None, None, None, None, "ru"]
+
+
+def test_switches_inside_a_sentence(spark, samples):
+    """A clause of another language makes a segment of its own; a single foreign word doesn't; what is sure of no language is told."""
+    first = {lang: samples.filter((F.col("lang") == lang) & (F.size(F.split("text", " ")) > 6)).orderBy("sample_id").first()["text"].split(". ")[0].rstrip(".!?") for lang in LANGS}
+    word = max(first["de"].split(), key=len)
+    docs = [
+        (1, f"{first['en']}, {first['tr']}."), (2, f"{first['tr']}."), (3, " ".join([*first["ru"].split()[:4], word, *first["ru"].split()[4:]]) + "."), (4, "Zxqw vrtk plmn qqwz xkcd wvut."), (5, "x"), (6, None), (7, first["tr"]),
+    ]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    model = fitted(samples, "lang", "text")
+    got = {}
+    for r in segments(rows, "doc_id", "text", model).orderBy("doc_id", "segment").collect():
+        got.setdefault(r.doc_id, []).append((r.lang, r.sentences))
+    assert got[1] == [("en", 0), ("tr", 0)] and got[2] == [("tr", 1)] and got[3] == [("ru", 1)] and 6 not in got
+    assert [x for x, _ in got[4]] == ["und"]
+    found = {r.doc_id: [(x.lang, x.sentences) for x in r.languages] for r in languages(rows, "doc_id", "text", model).collect()}
+    assert found[7] == [("tr", 0)] and found[2] == [("tr", 1)] and found[6] == []
