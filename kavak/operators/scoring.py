@@ -30,12 +30,14 @@ def page_tokens(pages: DataFrame, keys: Sequence[str], text: Column) -> DataFram
     return written(pages.select(*keys, search_tokens(text).alias("tokens")), "tokens")
 
 
-def postings(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys, token, tf)`` of :func:`page_tokens`; a page without tokens has none.
+def postings(tokens: DataFrame, keys: Sequence[str], pairs: bool = False) -> DataFrame:
+    """``(keys, token, tf)`` of :func:`page_tokens`; with ``pairs`` also the distinct neighbours of each page row, joined by a blank.
 
-    The rows lie by page, so sums over a page's tokens need no further shuffle.
+    A page without tokens has none.  Whole pages are laid out by page before
+    their tokens are, so neither these nor sums over them need a shuffle.
     """
-    return tokens.select(*keys, F.explode("tokens").alias("token")).repartition(*keys).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    terms = F.concat("tokens", F.array_distinct(bigrams(F.col("tokens")))) if pairs else F.col("tokens")
+    return tokens.repartition(*keys).select(*keys, F.explode(terms).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -54,33 +56,27 @@ def page_scores(outcomes: DataFrame, pages: DataFrame, page_keys: Sequence[str],
     """
     outcomes = written(outcomes.select("outcome_id", "grade", "title", "theme", "framework"), "outcomes")
     tokens = page_tokens(pages, page_keys, text)
-    post = postings(tokens, page_keys)
-    n = tokens.select(*page_keys).distinct().agg(F.count("*").alias("n_pages"))
-    df = document_frequency(post)
+    n_pages = tokens.select(*page_keys).distinct().count()
+    df = document_frequency(postings(tokens, page_keys))
     fields = [("title", WEIGHT_TITLE), ("theme", WEIGHT_THEME), ("framework", WEIGHT_FRAMEWORK)]
     term = None
     for name, weight in fields:
         part = outcomes.select("outcome_id", "grade", F.lit(name).alias("field"), F.lit(weight).alias("weight"), F.explode(F.array_distinct(search_tokens(F.col(name)))).alias("token"))
         term = part if term is None else term.union(part)
-    n_pages = n.first()["n_pages"]
     idf = F.log((F.lit(n_pages) + 1) / (F.col("df") + 1)) + 1
-    # a token of several fields is one row of their worths
-    weighted = term.join(df, "token").groupBy("token", "outcome_id", "grade").agg(F.sum(F.col("weight") * idf).alias("worth"), F.count_if(F.col("field") == "title").alias("in_title"))
+    # a token of several fields is one row of their worths; a pair of title tokens is a term of its own
+    weighted = term.join(df, "token").groupBy("token", "outcome_id", "grade").agg(F.sum(F.col("weight") * idf).alias("worth"), F.count_if(F.col("field") == "title").alias("in_title"), F.lit(0).cast("long").alias("pair"))
+    pair = F.explode(F.array_distinct(bigrams(F.array_distinct(search_tokens(F.col("title"))))))
+    sought = weighted.union(outcomes.select(pair.alias("token"), "outcome_id", "grade", F.lit(0.0), F.lit(0).cast("long"), F.lit(1).cast("long")))
     # a bounded list of outcomes goes to all pages; a longer one meets them by shuffle
     few = outcomes.limit(FEW_OUTCOMES + 1).count() <= FEW_OUTCOMES
-    hit = post.join(F.broadcast(weighted) if few else weighted, "token")
+    hit = postings(tokens, page_keys, pairs=True).join(F.broadcast(sought) if few else sought, "token")
     tf = 1 + TF_BONUS * (F.least(F.col("tf"), F.lit(MOST_TF)) - 1)
-    sums = (
+    both = (
         hit.groupBy("outcome_id", "grade", *page_keys)
-        .agg(F.sum(F.col("worth") * tf).alias("base"), F.sum("in_title").alias("title_hits"))
+        .agg(F.sum(F.col("worth") * tf).alias("base"), F.sum("in_title").alias("title_hits"), F.sum("pair").alias("bigram_hits"))
         .filter(F.col("title_hits") > 0)
     )
-    pair = outcomes.select("outcome_id", F.explode(F.array_distinct(bigrams(F.array_distinct(search_tokens(F.col("title")))))).alias("pair"))
-    sent = F.broadcast(pair) if few else pair
-    there = tokens.repartition(*page_keys).select(*page_keys, F.explode(F.array_distinct(bigrams(F.col("tokens")))).alias("pair"))
-    # a page that stands twice holds a pair once
-    bigram = there.join(sent, "pair").groupBy("outcome_id", *page_keys).agg(F.countDistinct("pair").alias("bigram_hits"))
-    both = sums.join(bigram, ["outcome_id", *page_keys], "left").withColumn("bigram_hits", F.coalesce("bigram_hits", F.lit(0).cast("long")))
     score = (F.col("base") + WEIGHT_BIGRAM * F.col("bigram_hits")) * F.when(affine, AFFINE).otherwise(NOT_AFFINE)
     score = score * F.when((F.col("title_hits") == 1) & (F.col("bigram_hits") == 0), SINGLE_HIT).otherwise(1.0)
     score = score * (1 + F.least(F.col("title_hits"), F.lit(MOST_BONUS_HITS)) * HIT_BONUS)

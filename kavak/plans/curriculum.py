@@ -85,7 +85,7 @@ def verify_best(spark: SparkSession, folder: str) -> DataFrame:
 
 def review_gate(spark: SparkSession, folder: str) -> DataFrame:
     """The checks that each evidence record fails: authority, source, hash, the grade's packages, policy, earlier verification, length, title found in the text."""
-    rows = table(spark, folder, "evidence_records").select("record_no", "grade", F.col("source.package_id").alias("package_id"), "evidence_text", "outcome_title", "source", "verification", "compiler_policy")
+    rows = spread(table(spark, folder, "evidence_records").select("record_no", "grade", F.col("source.package_id").alias("package_id"), "evidence_text", "outcome_title", "source", "verification", "compiler_policy"))
     title = X.distinct_search_tokens(F.col("outcome_title"))
     hits = F.size(F.array_intersect(title, F.split(X.searchable(F.col("evidence_text")), " ")))
     checks = {
@@ -208,7 +208,7 @@ def questions_by_difficulty(spark: SparkSession, folder: str) -> DataFrame:
 def source_mapping_topk(spark: SparkSession, folder: str) -> DataFrame:
     """For each topic of the history list the five history documents that hold most of its words."""
     queue = table(spark, folder, "tyt_tarih").select("subject", "topic_no", "topic")
-    docs = table(spark, folder, "documents").filter(F.col("text").isNotNull()).select("subject", "doc_id", "text")
+    docs = spread(table(spark, folder, "documents").filter(F.col("text").isNotNull()).select("subject", "doc_id", "text"))
     out = matching.share_matches(queue, ["topic_no"], X.bare_tokens(F.col("topic")), docs, ["subject"], "doc_id", X.bare_tokens(F.col("text")))
     return out.withColumn("confidence", S.confidence(F.col("score")))
 
@@ -283,7 +283,7 @@ def normal_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """How often each bare token of three letters or more stands in the corpus, and in how many documents."""
-    rows = table(spark, folder, "documents").select("doc_id", F.explode(X.bare_tokens(F.col("text"), X.STOP_LEXICAL)).alias("token"))
+    rows = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.explode(X.bare_tokens(F.col("text"), X.STOP_LEXICAL)).alias("token"))
     one = rows.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     return one.groupBy("token").agg(F.sum("n").alias("n_times"), F.count("*").alias("n_documents"))
 
@@ -296,7 +296,7 @@ def title_bigrams(spark: SparkSession, folder: str) -> DataFrame:
 
 def top_terms(spark: SparkSession, folder: str) -> DataFrame:
     """The ten commonest terms of each document by (count, term)."""
-    rows = table(spark, folder, "documents").select("doc_id", F.explode(X.bare_tokens(F.col("text"), X.STOP_LEXICAL)).alias("term"))
+    rows = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.explode(X.bare_tokens(F.col("text"), X.STOP_LEXICAL)).alias("term"))
     return ranking.top_k(rows.groupBy("doc_id", "term").agg(F.count("*").alias("n")), ["doc_id"], [F.desc("n"), F.col("term")], 10)
 
 
@@ -315,7 +315,7 @@ def chunk_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 def extractive_answers(spark: SparkSession, folder: str) -> DataFrame:
     """For each outcome with evidence the sentences that share most with its title, then its theme, under a budget, in source order."""
-    rows = table(spark, folder, "evidence_records").filter(F.col("evidence_text").isNotNull() & F.col("outcome_title").isNotNull())
+    rows = spread(table(spark, folder, "evidence_records").filter(F.col("evidence_text").isNotNull() & F.col("outcome_title").isNotNull()).select("record_no", "outcome_title", "theme_name", "evidence_text"))
     q, way = X.grounding_tokens(F.col("outcome_title")), X.grounding_tokens(F.coalesce("theme_name", F.lit("")))
     s = rows.select("record_no", q.alias("q"), way.alias("way"), F.posexplode(X.sentences_of(F.col("evidence_text"))).alias("place", "sentence"))
     tokens = s.withColumn("tokens", X.grounding_tokens(F.col("sentence")))
