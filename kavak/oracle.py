@@ -306,7 +306,6 @@ SELECT *, CASE WHEN weak_topics >= 3 THEN 'high' WHEN weak_topics > 0 THEN 'medi
     "study_days": f"SELECT strftime(coalesce(try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%d.%m.%Y')), '%Y-%m') AS month, count(*) AS n_rows, coalesce(sum(duration), 0)::BIGINT AS minutes FROM {_LOG} GROUP BY 1",
     "progress_state": f"SELECT student_id, topic, count(*) AS attempts, greatest(0.0::DOUBLE, max(score)) AS best_score, first(score ORDER BY logged_at DESC, log_id DESC) AS last_score FROM {_LOG} WHERE score IS NOT NULL AND topic IS NOT NULL GROUP BY 1, 2",
     "completed_and_weak": f"SELECT student_id, count(DISTINCT topic) FILTER (WHERE score >= 80) AS n_completed, count(DISTINCT topic) FILTER (WHERE score < 80) AS n_weak FROM {_LOG} WHERE score IS NOT NULL AND topic IS NOT NULL GROUP BY 1",
-    "first_topics": f"SELECT student_id, topic, first_at, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY first_at, topic) AS place FROM (SELECT student_id, topic, min(log_id) AS first_at FROM {_LOG} WHERE topic IS NOT NULL GROUP BY 1, 2)) WHERE place <= 5",
     "topics_in_order": f"SELECT *, CAST(row_number() OVER (PARTITION BY student_id ORDER BY first_at, topic) AS INTEGER) AS place FROM (SELECT student_id, topic, min(log_id) AS first_at FROM {_LOG} WHERE topic IS NOT NULL GROUP BY 1, 2)",
     "last_topic": f"SELECT student_id, first(topic ORDER BY logged_at DESC, log_id DESC) AS last_topic FROM {_LOG} WHERE topic IS NOT NULL GROUP BY 1",
     "study_windows": f"SELECT strftime(make_timestamp((epoch_us(logged_at) // (7 * 86400000000)) * 7 * 86400000000), '%Y-%m-%d') AS starts, subject, count(*) AS n_rows, sum(duration)::BIGINT AS minutes FROM {_LOG} GROUP BY 1, 2",

@@ -66,11 +66,6 @@ def completed_and_weak(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def first_topics(spark: SparkSession, folder: str) -> DataFrame:
-    """The first five topics of each learner in the order in which they came."""
-    return learner.first_seen(study_log(spark, folder), "student_id", "topic", "log_id").filter("place <= 5").select("student_id", "topic", "first_at", "place")
-
-
 def topics_in_order(spark: SparkSession, folder: str) -> DataFrame:
     """Every topic of each learner once, in the order in which they came."""
     return learner.first_seen(study_log(spark, folder), "student_id", "topic", "log_id").select("student_id", "topic", "first_at", "place")
@@ -90,5 +85,5 @@ def study_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = (
-    topic_study_summary, learner_insight, topic_history, distinct_subjects, score_bands, study_days, progress_state, completed_and_weak, first_topics, topics_in_order, last_topic, study_windows,
+    topic_study_summary, learner_insight, topic_history, distinct_subjects, score_bands, study_days, progress_state, completed_and_weak, topics_in_order, last_topic, study_windows,
 )

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kavak.operators.ranking import first_wins
+from kavak.plans.lineage import written
+
 MODES = {"replace": "overwrite", "append": "append", "refuse": "errorifexists", "keep": "ignore"}
 
 
@@ -22,22 +25,22 @@ def append_record(spark: SparkSession, path: str, subject: str, topic: str, dura
     write(row.select(F.coalesce(on if on is not None else F.lit(None).cast("date"), F.current_date()).cast("string").alias("date"), "*"), path, "append")
 
 
-def append_new(rows: DataFrame, path: str, key: str) -> int:
-    """Rows whose key the folder lacks are appended (the first of each); how many."""
+def append_new(rows: DataFrame, path: str, key: str, order: Sequence[Column] = ()) -> int:
+    """Rows whose key the folder lacks are appended, the first of each in ``order`` (then the least of the other columns); how many.
+
+    Null keys are one key.  What is appended is fixed before it is written, so
+    a lost executor can't change it between the count and the write.
+    """
     spark = rows.sparkSession
-    fresh = rows.dropDuplicates([key])
-    try:
-        held = spark.read.parquet(path).select(key)
-    except Exception as e:  # noqa: BLE001 - the folder may not be there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    else:
-        fresh = fresh.join(held, key, "left_anti")
-    fresh = fresh.cache()
+    fresh = first_wins(rows, [key], order)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        held = spark.read.parquet(path).select(F.col(key).alias("_held")).distinct()
+        fresh = fresh.join(held, F.col(key).eqNullSafe(F.col("_held")), "left_anti")
+    fresh = written(fresh.select(*rows.columns), "appended")
     n = fresh.count()
     if n:
         write(fresh, path, "append")
-    fresh.unpersist()
     return n
 
 

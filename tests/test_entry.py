@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-NAMES = ["topic_study_summary", "crosswalk_status", "review_gate", "coverage_sets", "source_mapping_topk", "normal_forms", "resolve_topic_unique", "p1_found", "p4_found", "progress_state", "manifest_one_to_one"]
+NAMES = ["topic_study_summary", "crosswalk_status", "review_gate", "coverage_sets", "source_mapping_topk", "normal_forms", "resolve_topic_unique", "p1_found", "p4_found", "progress_state", "manifest_one_to_one", "p1_places", "p4_composite", "claim_gate", "release_gate", "question_items", "topic_pages", "excerpt_windows", "extractive_answers", "topics_in_order"]
 
 
 @pytest.fixture(scope="module")
