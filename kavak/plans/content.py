@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kavak.functions.keys import plain_key
 from kavak.operators.hierarchy import ancestors, hierarchy, named_edges
 from kavak.operators.references import FOUND, MATCHES, judged, orphans
+from kavak.plans.lineage import written
 from kavak.sources.tables import table
 
 
@@ -29,14 +30,15 @@ def p1_places(spark: SparkSession, folder: str) -> DataFrame:
 
 def _references(spark: SparkSession, folder: str) -> list[DataFrame]:
     def read(name: str, id: str, key: str, *deleted: str) -> DataFrame:
+        # keys are brought to form once, however many joins take them
         rows = table(spark, folder, name)
         gone = F.col(deleted[0]) if deleted else F.lit(None).cast("timestamp")
-        return rows.select(F.col(id).alias("id"), plain_key(F.col(key)).alias("ref"), plain_key(F.col(id)).alias("own"), "created_at", gone.alias("deleted_at"))
+        return written(rows.select(F.col(id).alias("id"), plain_key(F.col(key)).alias("ref"), plain_key(F.col(id)).alias("own"), "created_at", gone.alias("deleted_at")), name)
 
     questions = read("questions", "id", "solution_id", "deleted_at")
     solutions = read("solutions", "id", "question_id", "deleted_at")
     manifest = read("biology_release_manifest", "unit_id", "record_id")
-    evidence = table(spark, folder, "evidence_records").select(plain_key(F.col("record_id")).alias("own"), "created_at", "deleted_at")
+    evidence = written(table(spark, folder, "evidence_records").select(plain_key(F.col("record_id")).alias("own"), "created_at", "deleted_at"), "evidence")
     alive = lambda rows: rows.filter(F.col("deleted_at").isNull())
     made = ("created_at", "deleted_at")
     return [
