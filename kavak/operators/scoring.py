@@ -2,15 +2,21 @@
 
 The pages are the large side.  Their postings (token, page, count) meet the
 outcomes' terms on the token, so no outcome is compared with a page it shares
-no token with; partial sums run before the shuffle on (outcome, page).
+no token with.  The terms of up to ``FEW_OUTCOMES`` outcomes go to the pages,
+which are scored where they lie, so many pages at once as ``CELLS`` and
+``HITS`` allow; those of more meet them by shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kavak.functions.text import bare_words, bigrams, let, search_tokens, source_tokens
 from kavak.operators.matching import contained
@@ -23,6 +29,8 @@ WEIGHT_BIGRAM = 12.0
 AFFINE, NOT_AFFINE, SINGLE_HIT, HIT_BONUS, MOST_BONUS_HITS, TF_BONUS, MOST_TF = 1.20, 0.82, 0.55, 0.08, 5, 0.15, 3
 #: Outcomes up to this number (some ten terms each) are sent to all workers.
 FEW_OUTCOMES = 20_000
+#: Pairs of a page and an outcome, and terms of them, that a task sums up at once.
+CELLS, HITS = 1_000_000, 2_000_000
 
 
 def page_tokens(pages: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
@@ -45,19 +53,119 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def page_scores(outcomes: DataFrame, pages: DataFrame, page_keys: Sequence[str], text: Column, affine: Column) -> DataFrame:
+def _merged(tokens: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """(:func:`page_tokens` with one row for each page, pages); tokens of repeated pages are parted by an empty one."""
+    n_pages = tokens.select(*keys).distinct().count()
+    if n_pages < tokens.count():
+        parted = F.concat("tokens", F.array(F.lit("")))
+        tokens = written(tokens.groupBy(*keys).agg(F.flatten(F.collect_list(parted)).alias("tokens")), "merged")
+    return tokens, n_pages
+
+
+def _sums(sought: pa.Table, keys: Sequence[str], best: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` over one row for each page: what its pairs with outcomes sum up to.
+
+    ``sought`` has ``token, outcome_id, grade, worth, in_title, pair``.  With
+    ``best``, pairs are left out that so many others of the outcome, seen in
+    the same task, exceed whether or not their pages are affine.
+    """
+    pair = np.asarray(sought["pair"]) > 0
+    words = pc.unique(sought["token"].filter(pa.array(~pair)))
+    owners = sought.select(["outcome_id", "grade"]).group_by(["outcome_id", "grade"]).aggregate([])
+    each = lambda rows: zip(rows["outcome_id"].to_pylist(), rows["grade"].to_pylist())
+    number = {o: i for i, o in enumerate(each(owners))}
+    owner = np.array([number[o] for o in each(sought)], np.int64)
+    n_words, n_owners = len(words), len(number)
+    # a pair's term: the numbers of its two words; a pair with a word that no page has is in no page
+    word = lambda x: pc.fill_null(pc.index_in(pa.array(x, words.type), value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    tokens = np.array(sought["token"].to_pylist(), object)
+    term = np.full(len(tokens), -1, np.int64)
+    term[~pair] = word(tokens[~pair].tolist())
+    first, second = (word([t.split(" ")[i] for t in tokens[pair].tolist()]) for i in (0, 1))
+    codes = np.where((first >= 0) & (second >= 0), first * n_words + second, -1)
+    neighbours = np.unique(codes[codes >= 0])
+    term[pair] = np.where(codes >= 0, n_words + np.searchsorted(neighbours, codes), -1)
+    order = np.argsort(term, kind="stable")
+    order = order[term[order] >= 0]
+    starts = np.searchsorted(term[order], np.arange(n_words + len(neighbours) + 1))
+    owner, worth = owner[order], np.asarray(sought["worth"], np.float64)[order]
+    # both counts in one number
+    counts = (np.asarray(sought["in_title"], np.float64) + (1 << 20) * pair)[order]
+    outcome_ids, grades = (owners[c].combine_chunks() for c in ("outcome_id", "grade"))
+
+    def postings_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(page, term, how often) by page."""
+        lens = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = pc.fill_null(pc.index_in(column.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        page = np.repeat(np.arange(len(lens)), lens)
+        there = np.flatnonzero(found >= 0)
+        n_terms = n_words + len(neighbours)
+        single, n = np.unique(page[there] * n_terms + found[there], return_counts=True)
+        left = there[:-1][np.diff(there) == 1]
+        left = left[page[left] == page[left + 1]]
+        code = found[left] * n_words + found[left + 1]
+        if len(neighbours):
+            at = np.minimum(np.searchsorted(neighbours, code), len(neighbours) - 1)
+            hit = neighbours[at] == code
+            both = np.unique(page[left[hit]] * n_terms + n_words + at[hit])
+            single, n = np.concatenate((single, both)), np.concatenate((n, np.ones(len(both), n.dtype)))
+            by_page = np.argsort(single)
+            single, n = single[by_page], n[by_page]
+        return single // n_terms, single % n_terms, n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.full((best or 0, n_owners), -np.inf)
+        for batch in batches if n_owners else ():
+            page, t, n = postings_of(batch.column(len(keys)))
+            tf = 1 + TF_BONUS * (np.minimum(n, MOST_TF) - 1)
+            many = starts[t + 1] - starts[t]
+            by_page = np.searchsorted(page, np.arange(batch.num_rows + 1))
+            total = np.concatenate(([0], np.cumsum(many)))[by_page]
+            at = 0
+            while at < batch.num_rows:
+                to = min(int(np.searchsorted(total, total[at] + HITS, "right")) - 1, at + CELLS // n_owners)
+                to = min(max(to, at + 1), batch.num_rows)
+                x = slice(by_page[at], by_page[to])
+                rep = many[x]
+                entry = np.repeat(starts[t[x]] - (np.cumsum(rep) - rep), rep) + np.arange(int(rep.sum()))
+                cell = np.repeat((page[x] - at) * n_owners, rep) + owner[entry]
+                shape = (to - at, n_owners)
+                base = np.bincount(cell, worth[entry] * np.repeat(tf[x], rep), shape[0] * n_owners).astype(np.float64).reshape(shape)  # of nothing, numpy gives whole numbers
+                count = np.bincount(cell, counts[entry], shape[0] * n_owners).astype(np.int64).reshape(shape)
+                title, pairs = count & ((1 << 20) - 1), count >> 20
+                kept = title > 0
+                if best:
+                    s = (base + WEIGHT_BIGRAM * pairs) * np.where((title == 1) & (pairs == 0), SINGLE_HIT, 1.0) * (1 + np.minimum(title, MOST_BONUS_HITS) * HIT_BONUS)
+                    low = np.where(kept, s * min(AFFINE, NOT_AFFINE), -np.inf)
+                    top = np.concatenate((held, low if len(low) <= best else np.partition(low, -best, axis=0)[-best:]))
+                    held = np.partition(top, -best, axis=0)[-best:]
+                    # scores are rounded to six places before they are compared
+                    kept &= s * max(AFFINE, NOT_AFFINE) >= held.min(axis=0) - 2e-6
+                rows, owners_kept = np.nonzero(kept)
+                where, whose = pa.array(rows + at), pa.array(owners_kept)
+                yield pa.RecordBatch.from_arrays(
+                    [outcome_ids.take(whose), grades.take(whose), *(batch.column(k).take(where) for k in range(len(keys))), pa.array(base[kept]), pa.array(title[kept]), pa.array(pairs[kept])],
+                    ["outcome_id", "grade", *keys, "base", "title_hits", "bigram_hits"],
+                )
+                at = to
+
+    return run
+
+
+def page_scores(outcomes: DataFrame, pages: DataFrame, page_keys: Sequence[str], text: Column, affine: Column, best: int | None = None) -> DataFrame:
     """Scores of outcome-page pairs that share a token of the outcome's title.
 
     ``outcomes`` has ``outcome_id, grade, title, theme, framework`` (null
     texts are empty), one row each.  ``affine`` is a boolean over the outcome's
     and page's columns.  Gives ``outcome_id``, the page keys, ``score`` (six
     places), ``title_hits``, ``bigram_hits`` and ``affine``.  Repeated pages
-    (equal keys) count as one page of all their tokens.
+    (equal keys) count as one page of all their tokens.  With ``best``, pairs
+    may be absent that can't be among so many best of their outcome: all that
+    are, and all that tie with them, are there.
     """
     outcomes = written(outcomes.select("outcome_id", "grade", "title", "theme", "framework"), "outcomes")
-    tokens = page_tokens(pages, page_keys, text)
-    n_pages = tokens.select(*page_keys).distinct().count()
-    df = document_frequency(postings(tokens, page_keys))
+    tokens, n_pages = _merged(page_tokens(pages, page_keys, text), page_keys)
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     fields = [("title", WEIGHT_TITLE), ("theme", WEIGHT_THEME), ("framework", WEIGHT_FRAMEWORK)]
     term = None
     for name, weight in fields:
@@ -69,14 +177,17 @@ def page_scores(outcomes: DataFrame, pages: DataFrame, page_keys: Sequence[str],
     pair = F.explode(F.array_distinct(bigrams(F.array_distinct(search_tokens(F.col("title"))))))
     sought = weighted.union(outcomes.select(pair.alias("token"), "outcome_id", "grade", F.lit(0.0), F.lit(0).cast("long"), F.lit(1).cast("long")))
     # a bounded list of outcomes goes to all pages; a longer one meets them by shuffle
-    few = outcomes.limit(FEW_OUTCOMES + 1).count() <= FEW_OUTCOMES
-    hit = postings(tokens, page_keys, pairs=True).join(F.broadcast(sought) if few else sought, "token")
-    tf = 1 + TF_BONUS * (F.least(F.col("tf"), F.lit(MOST_TF)) - 1)
-    both = (
-        hit.groupBy("outcome_id", "grade", *page_keys)
-        .agg(F.sum(F.col("worth") * tf).alias("base"), F.sum("in_title").alias("title_hits"), F.sum("pair").alias("bigram_hits"))
-        .filter(F.col("title_hits") > 0)
-    )
+    if outcomes.limit(FEW_OUTCOMES + 1).count() <= FEW_OUTCOMES:
+        own = [outcomes.schema["outcome_id"], outcomes.schema["grade"], *(tokens.schema[k] for k in page_keys)]
+        sums = [T.StructField("base", T.DoubleType()), T.StructField("title_hits", T.LongType()), T.StructField("bigram_hits", T.LongType())]
+        both = tokens.select(*page_keys, "tokens").mapInArrow(_sums(sought.toArrow(), page_keys, best), T.StructType([*own, *sums]))
+    else:
+        tf = 1 + TF_BONUS * (F.least(F.col("tf"), F.lit(MOST_TF)) - 1)
+        both = (
+            postings(tokens, page_keys, pairs=True).join(sought, "token").groupBy("outcome_id", "grade", *page_keys)
+            .agg(F.sum(F.col("worth") * tf).alias("base"), F.sum("in_title").alias("title_hits"), F.sum("pair").alias("bigram_hits"))
+            .filter(F.col("title_hits") > 0)
+        )
     score = (F.col("base") + WEIGHT_BIGRAM * F.col("bigram_hits")) * F.when(affine, AFFINE).otherwise(NOT_AFFINE)
     score = score * F.when((F.col("title_hits") == 1) & (F.col("bigram_hits") == 0), SINGLE_HIT).otherwise(1.0)
     score = score * (1 + F.least(F.col("title_hits"), F.lit(MOST_BONUS_HITS)) * HIT_BONUS)

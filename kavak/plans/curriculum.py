@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kavak.functions import scalars as S
 from kavak.functions import text as X
 from kavak.operators import coverage, gates, matching, ranking, scoring
+from kavak.plans.lineage import written
 from kavak.sources.tables import spread, table
 
 # Words that tell a subject, in the order in which subjects are tried.
@@ -18,6 +19,8 @@ KEYWORDS = (
 
 #: Whose pages count as an official source.
 AUTHORITY = "OKUL-YAYIN"
+#: Numbers of pages (8 bytes each) that are sent to all workers; more meet the pages by shuffle.
+FEW_PAGES = 60_000
 
 
 def outcomes(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,8 +40,8 @@ def _affine() -> Column:
     return F.contains("package_id", F.when(F.col("grade") <= 10, "-TYT-").otherwise("-AYT-"))
 
 
-def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.page_scores(outcomes(spark, folder), pages(spark, folder), ["record_no", "package_id"], F.col("evidence_text"), _affine())
+def _scores(spark: SparkSession, folder: str, best: int) -> DataFrame:
+    return scoring.page_scores(outcomes(spark, folder), pages(spark, folder), ["record_no", "package_id"], F.col("evidence_text"), _affine(), best)
 
 
 def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,7 +51,7 @@ def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
 
 def crosswalk_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The eight best pages of each outcome."""
-    return scoring.best_pages(_scores(spark, folder), ["package_id", "record_no"])
+    return scoring.best_pages(_scores(spark, folder, 8), ["package_id", "record_no"], 8)
 
 
 def crosswalk_status(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,9 +67,12 @@ def crosswalk_status_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def verify_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """The three best pages of each outcome, checked: title tokens and neighbours found, and whether the source is complete."""
-    best = crosswalk_topk(spark, folder).filter(F.col("rank") <= 3).select("outcome_id", "record_no", "score", "affine", "rank")
+    best = written(crosswalk_topk(spark, folder).filter(F.col("rank") <= 3).select("outcome_id", "record_no", "score", "affine", "rank"), "best")
+    # only the best pages are made words; their numbers go to all pages if they are few
+    wanted = best.select("record_no").distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(FEW_PAGES + 1).count() <= FEW_PAGES else wanted
     titles = outcomes(spark, folder).select("outcome_id", X.distinct_search_tokens(F.col("title")).alias("title"))
-    held = pages(spark, folder).withColumn("complete", gates.complete("source", ["source_anchor", "html_path", "image_path"]) & (F.trim("evidence_text") != ""))
+    held = table(spark, folder, "evidence_records").select("record_no", "evidence_text", "source").join(wanted, "record_no", "left_semi").withColumn("complete", gates.complete("source", ["source_anchor", "html_path", "image_path"]) & (F.trim("evidence_text") != ""))
     words = F.split(X.searchable(F.col("evidence_text")), " ")
     rows = best.join(titles, "outcome_id").join(held.select("record_no", "complete", words.alias("words")), "record_no", "left")
     rows = rows.withColumn("title_hits", F.size(F.array_intersect("title", "words"))).withColumn("bigram_hits", F.size(F.array_intersect(X.bigrams(F.col("title")), X.bigrams(F.col("words")))))
