@@ -5,13 +5,13 @@ without regard to case and punctuation.  Two records are alike to
 ``|A n B| / |A u B|``.
 
 Join.  Equal sets are one class first.  All runs have one order, the same for
-every text: rare ones first, then those that a sample of the records shows to
-be common, the commonest last.  Of two texts alike to the threshold t, each
-shares at least t of its runs with the other, so their first
+every text: rare ones first, then the ``LISTED`` that most records hold, the
+commonest last; every run of every record counts.  Of two texts alike to the
+threshold t, each shares at least t of its runs with the other, so their first
 ``size - ceil(t * size) + 1`` runs in that order have a run in common (the
 pigeonhole).  Records meet on these runs within the band of sizes that the
 threshold leaves, narrowed by the place at which they meet; no run is dropped
-however many records hold it, so no pair is lost, whatever the sample says.
+however many records hold it, so no pair is lost, whatever the order.
 The records of a run that very many hold are cut in pieces, and every two
 pieces meet under a key of their own.
 
@@ -35,17 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavak.llm.batches import mapped
+from kavak.llm.batches import by_size, mapped
 from kavak.llm.plain import plain_many
 from kavak.llm.words import mix, ngrams, words
 from kavak.plans.lineage import written
 
-#: A run in more records than this, by the sample, is joined in pieces of about so many.
+#: A run in more records than this is joined in pieces of about so many.
 COMMON = 4096
-#: Up to this many records all count for the order of the runs, of more one in ``ONE_IN``.
-SAMPLED, ONE_IN = 20_000, 4
-#: A run is listed as common from this many sampled records on; the most runs listed.
+#: A run is listed as common from this many records on; the most runs listed, those beyond it count as rare.
 LISTED_FROM, LISTED = 3, 200_000
+#: Runs that a task counts before it sends their counts on.
+COUNTED = 2_000_000
 SKETCH_LONGS = 7
 #: Bytes of a run's hash that are kept: two different runs agree with 2 ** -40, in which case only a candidate more is checked.
 RUN_BYTES = 5
@@ -120,10 +120,49 @@ def _runs(batch: pa.RecordBatch, n: int, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(short[a:b], RUN_BYTES) for a, b in zip(bounds, bounds[1:])], pa.binary())], ["id", "runs"])
 
 
-def _counted(batch: pa.RecordBatch, n: int, least: int) -> pa.RecordBatch:
-    """How often each run stands in the batch."""
-    runs, times = np.unique(_sets(batch.column(1).to_pylist(), n, least)[1], return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(times)], ["run", "n"])
+def _summed(runs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct runs, ascending; the sum of each one's times)."""
+    order = np.argsort(runs)
+    runs = runs[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(runs)), bool), runs[1:] != runs[:-1])))
+    return runs[first], np.add.reduceat(times[order], first) if len(first) else times
+
+
+def _counted(n: int, least: int, parts: int):
+    """A function for ``mapInArrow``: in how many texts each run stands, as one packed row for each part."""
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        runs, times = _summed(*(np.concatenate(x) for x in zip(*held)))
+        part = (runs % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        there, starts = np.unique(part[order], return_index=True)
+        rows = [order[a:b] for a, b in zip(starts, [*starts[1:], len(order)])]
+        return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([_packed(runs[x], RUN_BYTES) for x in rows], pa.binary()), pa.array([_packed(times[x], 4) for x in rows], pa.binary())], ["part", "runs", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in by_size(batches, "text"):
+            g = _sets(batch.column(1).to_pylist(), n, least)[1]
+            held.append(np.unique(g & np.uint64((1 << 8 * RUN_BYTES) - 1), return_counts=True))
+            size += len(held[-1][0])
+            if size >= COUNTED:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return run
+
+
+def _commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a whole part, the runs that enough texts hold, no more than are listed of all parts."""
+    blocks = [row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in (1, 2)))]
+    if not blocks:
+        return
+    runs, times = _summed(np.concatenate([_unpacked(x, RUN_BYTES) for x, _ in blocks]), np.concatenate([_unpacked(x, 4) for _, x in blocks]).astype(np.int64))
+    enough = np.flatnonzero(times >= LISTED_FROM)
+    top = enough[np.lexsort((runs[enough], -times[enough]))[:LISTED]]
+    yield pa.RecordBatch.from_arrays([pa.array(runs[top].view(np.int64)), pa.array(times[top])], ["run", "n"])
 
 
 def _blocks(batch: pa.RecordBatch, n: int, least: int, threshold: float, listed: np.ndarray, held: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -131,8 +170,9 @@ def _blocks(batch: pa.RecordBatch, n: int, least: int, threshold: float, listed:
     _, g, text = _sets(batch.column(1).to_pylist(), n, least)
     often = np.zeros(len(g), np.int64)
     if len(listed):
-        at = np.minimum(np.searchsorted(listed, g), len(listed) - 1)
-        often = np.where(listed[at] == g, held[at], 0)
+        short = g & np.uint64((1 << 8 * RUN_BYTES) - 1)
+        at = np.minimum(np.searchsorted(listed, short), len(listed) - 1)
+        often = np.where(listed[at] == short, held[at], 0)
     rows, ids = batch.num_rows, batch.column(0).to_numpy().view(np.uint64)
     order = np.argsort(text.astype(np.int64) << 40 | often, kind="stable")
     g, often = g[order], often[order]
@@ -225,11 +265,12 @@ def _likeness(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _common(rows: DataFrame, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(runs that many records hold, ascending; by how many records each, as the sample says)."""
-    one_in = 1 if rows.count() <= SAMPLED else ONE_IN
-    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).mapInArrow(mapped("text", lambda b: _counted(b, n, least)), "run long, n long")
-    top = sample.groupBy("run").agg(F.sum("n").alias("n")).filter(F.col("n") >= LISTED_FROM).orderBy(F.desc("n"), "run").limit(LISTED).toArrow()
-    runs, held = top["run"].to_numpy().view(np.uint64), top["n"].to_numpy() * one_in
+    """(the kept bytes of runs that many records hold, ascending; how many records hold each)."""
+    # a record's runs are unpacked and sorted in the counting: parts a quarter of those that meet
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() * RECORD_BYTES * 4 // PART_BYTES))
+    counts = rows.mapInArrow(_counted(n, least, parts), "part int, runs binary, times binary").repartitionById(parts, "part").mapInArrow(_commonest, "run long, n long")
+    top = counts.orderBy(F.desc("n"), "run").limit(LISTED).toArrow()
+    runs, held = top["run"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(runs)
     return runs[order], held[order]
 
